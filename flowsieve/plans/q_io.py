@@ -1 +1,218 @@
-"""Registered queries."""
+"""Source and sink (2.2) queries as write -> read round trips.
+
+Each query writes data derived from the driver tables into a fresh folder under the
+shared checkpoint directory, reads it back with the operator under test, and returns
+rows that the oracle computes straight from the parquet tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowsieve.functions.util import qcol
+from flowsieve.operators import metrics as M
+from flowsieve.operators import reports as R
+from flowsieve.operators import stats as ST
+from flowsieve.operators.sampling import hash_sample
+from flowsieve.plans import sqlgen
+from flowsieve.plans.adapters import FLOWS_SQL, flows, sql
+from flowsieve.plans.common import BASE_CTES, RULE_PAIRS_SQL, rule_pairs
+from flowsieve.plans.q_reports import MODELS, ATTACKS, TEXTS_SQL, _parsed_sql, result_rows, result_texts
+from flowsieve.plans.registry import register
+from flowsieve.schema import ATTACK_MAPPING_V1
+from flowsieve.session import scratch_path
+from flowsieve.sinks import writers as W
+from flowsieve.sources import flows as FS
+from flowsieve.sources import texts as TX
+
+q = sqlgen.q
+WRITE_COLS = ["Flow ID", "Source IP", "Destination IP", "Timestamp", "Protocol", "Packets", "Bytes", "Discount",
+              "Tax", "Size", "Retail Price", "Flow Bytes/s", "SimillarHTTP", "Inbound", "Label", "chunk_id"]
+
+
+def _flows_csv(spark, sf_dir):
+    path = scratch_path(spark, "flows-csv")
+    FS.write_flow_csv(flows(spark, sf_dir).select(*WRITE_COLS, "source_file"), path, partition_by="source_file")
+    return path
+
+
+def _stem_sql():
+    return "regexp_extract(source_file, '^(.*)\\.csv$', 1)"
+
+
+@register("scan_flow_csv", sql(FLOWS_SQL, body=f"""
+SELECT "Flow ID", "Source IP", "Protocol", "Flow Bytes/s", "Label", {_stem_sql()} AS file FROM flows"""))
+def q_scan_flow_csv(spark, sf_dir):
+    df = FS.read_flow_csv(spark, _flows_csv(spark, sf_dir))
+    return df.select("Flow ID", "Source IP", "Protocol", "Flow Bytes/s", "Label", FS.file_stem().alias("file"))
+
+
+@register("trim_column_names", sql(FLOWS_SQL, body="SELECT unnest(['" + "', '".join(WRITE_COLS + ["file_path"])
+                                   + "']) AS column_name, count(*) > 0 AS has_rows FROM flows"))
+def q_trim_column_names(spark, sf_dir):
+    df = FS.read_flow_csv(spark, _flows_csv(spark, sf_dir))
+    has_rows = df.limit(1).count() > 0
+    return spark.createDataFrame([(c, has_rows) for c in df.columns], "column_name string, has_rows boolean")
+
+
+@register("dtype_override", sql(FLOWS_SQL, body='SELECT "Flow ID", "SimillarHTTP", "Protocol" FROM flows'))
+def q_dtype_override(spark, sf_dir):
+    df = FS.read_flow_csv(spark, _flows_csv(spark, sf_dir), string_columns=["SimillarHTTP"])
+    return df.select("Flow ID", "SimillarHTTP", "Protocol")
+
+
+@register("scan_chunked", sql(FLOWS_SQL, body=f"""
+SELECT {_stem_sql()} AS file, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT chunk_id) AS BIGINT) AS chunks
+FROM flows GROUP BY 1"""))
+def q_scan_chunked(spark, sf_dir):
+    # tiny splits: many tasks per file; totals must not depend on how the file was cut
+    df = FS.read_flow_csv(spark, _flows_csv(spark, sf_dir), max_partition_bytes=256 * 1024)
+    return df.groupBy(FS.file_stem().alias("file")).agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
+                                                        F.countDistinct("chunk_id").cast("bigint").alias("chunks"))
+
+
+@register("label_from_filename", sql(FLOWS_SQL, body=f"""
+SELECT "Flow ID", {sqlgen.map_label(_stem_sql())} AS file_label FROM flows
+WHERE {sqlgen.map_label(_stem_sql())} IS NOT NULL"""))
+def q_label_from_filename(spark, sf_dir):
+    df = FS.read_flow_csv(spark, _flows_csv(spark, sf_dir))
+    kept, _skipped = FS.label_from_filename(df, ATTACK_MAPPING_V1)
+    return kept.select("Flow ID", "file_label")
+
+
+@register("rows_per_file", sql(FLOWS_SQL, body=f"""
+SELECT {_stem_sql()} AS file, CAST(count(*) AS BIGINT) AS rows FROM flows GROUP BY 1"""))
+def q_rows_per_file(spark, sf_dir):
+    return FS.rows_per_file(FS.read_flow_csv(spark, _flows_csv(spark, sf_dir)))
+
+
+HEAD_N = 1000
+
+
+@register("head_per_file", sql(FLOWS_SQL, body=f"""
+SELECT file, "Flow ID" FROM (SELECT {_stem_sql()} AS file, "Flow ID",
+  row_number() OVER (PARTITION BY source_file ORDER BY "Flow ID") AS r FROM flows) WHERE r <= {HEAD_N}"""))
+def q_head_per_file(spark, sf_dir):
+    df = FS.read_flow_csv(spark, _flows_csv(spark, sf_dir)).select("Flow ID", "file_path")
+    return FS.head_per_file(df, HEAD_N, ["Flow ID"]).select(F.col("_file").alias("file"), "Flow ID")
+
+
+@register("scan_parquet", sql(FLOWS_SQL, body="""
+SELECT "Flow ID", "Packets", "Bytes" FROM flows WHERE "Label" = 'Syn'"""))
+def q_scan_parquet(spark, sf_dir):
+    path = scratch_path(spark, "flows-parquet")
+    flows(spark, sf_dir).write.mode("overwrite").parquet(path)
+    # the Label predicate and the 3-column projection reach the parquet reader
+    return spark.read.parquet(path).where(qcol("Label") == "Syn").select("Flow ID", "Packets", "Bytes")
+
+
+@register("scan_stream", sql(FLOWS_SQL, body='SELECT "Flow ID", "Label", "Packets" FROM flows'))
+def q_scan_stream(spark, sf_dir):
+    from flowsieve.streaming.flows import stream_flow_csv_to_parquet
+    src = _flows_csv(spark, sf_dir)
+    out = stream_flow_csv_to_parquet(spark, src, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt"),
+                                     ["Flow ID", "Label", "Packets"])
+    return spark.read.parquet(out)
+
+
+def _wholetext_sql():
+    h = R.HEADER_PATTERN
+    return sql(TEXTS_SQL, _parsed_sql(), body=f"""
+SELECT coalesce(CASE WHEN regexp_matches(p.text, '{h}') THEN trim(regexp_extract(p.text, '{h}', 1)) END, r.model) AS model,
+       coalesce(CASE WHEN regexp_matches(p.text, '{h}') THEN trim(regexp_extract(p.text, '{h}', 2)) END, r.attack) AS attack,
+       p.total_samples, p.num_chunks, p.accuracy_percent, p.f1, p.mre, p.mra, p.total_time_s
+FROM parsed p JOIN (SELECT model, attack, '/results/' || CASE WHEN variant % 2 = 0 THEN 'hmi-a' ELSE 'hmi-b' END
+                    || '/' || model || '_' || attack || '.txt' AS path FROM runs) r ON p.path = r.path""")
+
+
+def _write_reports(spark, sf_dir):
+    t = result_texts(spark, sf_dir)
+    path = scratch_path(spark, "reports")
+    TX.write_texts(t.select("text", "model", "attack"), path, ["model", "attack"])
+    return path
+
+
+@register("scan_wholetext", _wholetext_sql())
+def q_scan_wholetext(spark, sf_dir):
+    back = TX.read_whole_texts(spark, _write_reports(spark, sf_dir))
+    p = R.parse_result_text(back, "text", "path")
+    return p.select("model", "attack", "total_samples", "num_chunks", "accuracy_percent", "f1", "mre", "mra",
+                    "total_time_s")
+
+
+@register("parse_result_folder", _wholetext_sql())
+def q_parse_result_folder(spark, sf_dir):
+    back = TX.read_whole_texts(spark, _write_reports(spark, sf_dir))
+    p = R.drop_rows_without_metrics(R.parse_result_text(back, "text", "path"))
+    return p.select("model", "attack", "total_samples", "num_chunks", "accuracy_percent", "f1", "mre", "mra",
+                    "total_time_s")
+
+
+@register("sink_report", sql(TEXTS_SQL, body="SELECT model, attack, text FROM texts"))
+def q_sink_report(spark, sf_dir):
+    back = TX.read_whole_texts(spark, _write_reports(spark, sf_dir))
+    # each written file is the text plus the line terminator of the text writer
+    return back.select(F.regexp_extract("path", r"/model=([^/]+)/", 1).alias("model"),
+                       F.regexp_extract("path", r"/attack=([^/]+)/", 1).alias("attack"),
+                       F.regexp_replace("text", "\n$", "").alias("text"))
+
+
+@register("sink_predictions", sql(*BASE_CTES, RULE_PAIRS_SQL, body="SELECT flow_id, y, p FROM pairs"))
+def q_sink_predictions(spark, sf_dir):
+    path = scratch_path(spark, "predictions")
+    W.write_csv(rule_pairs(spark, sf_dir).select("flow_id", "y", "p"), path)
+    return W.read_csv(spark, path, "flow_id string, y int, p int")
+
+
+_mc, _mb = sqlgen.summary_metrics_sql("pairs", ["chunk_id"])
+
+
+@register("sink_metrics", sql(*BASE_CTES, RULE_PAIRS_SQL, _mc, body=_mb))
+def q_sink_metrics(spark, sf_dir):
+    path = scratch_path(spark, "metrics")
+    W.write_csv(M.summary_metrics(rule_pairs(spark, sf_dir), "y", "p", by=["chunk_id"]), path)
+    return W.read_csv(spark, path, "chunk_id int, samples bigint, accuracy double, f1_weighted double, mre double, "
+                                   "mra double")
+
+
+@register("sink_sample", sql(FLOWS_SQL, body=f"""
+SELECT "Flow ID", "Label" FROM flows WHERE {sqlgen.md5_u32('"Flow ID"')} < {int(4294967296 / 600)}"""))
+def q_sink_sample(spark, sf_dir):
+    path = scratch_path(spark, "sample")
+    W.write_csv(hash_sample(flows(spark, sf_dir), qcol("Flow ID"), 1 / 600).select("Flow ID", "Label"), path)
+    return W.read_csv(spark, path, "`Flow ID` string, Label string")
+
+
+@register("sink_two_tables", sql(TEXTS_SQL, _parsed_sql(), body=f"""
+SELECT model, attack, CAST(count(*) AS BIGINT) AS count_files,
+       {sqlgen.round6('avg(accuracy_percent)')} AS mean_accuracy, {sqlgen.round6('median(accuracy_percent)')} AS median_accuracy,
+       {sqlgen.round6('avg(f1)')} AS mean_f1, {sqlgen.round6('median(f1)')} AS median_f1
+FROM rows GROUP BY model, attack"""))
+def q_sink_two_tables(spark, sf_dir):
+    raw = result_rows(spark, sf_dir)
+    summary = ST.summary_by_group(raw, ["model", "attack"], {"accuracy": "accuracy_percent", "f1": "f1"})
+    _rp, sp = W.write_two_tables(raw, summary, scratch_path(spark, "two-tables"))
+    return spark.read.parquet(sp)
+
+
+def _bucket_sql():
+    return f"CAST({sqlgen.md5_u32('\"Flow ID\"')} % 20 AS INTEGER)"
+
+
+@register("rechunk", sql(FLOWS_SQL, body=f"SELECT {_bucket_sql()} AS bucket, CAST(count(*) AS BIGINT) AS rows "
+                                        "FROM flows GROUP BY 1"))
+def q_rechunk(spark, sf_dir):
+    path = scratch_path(spark, "rechunk")
+    W.rechunk(flows(spark, sf_dir).select("Flow ID", "Label"), qcol("Flow ID"), path, 20)
+    return spark.read.parquet(path).groupBy("bucket").agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
+
+
+@register("split_holdout_buckets", sql(FLOWS_SQL, body=f"""
+SELECT "Flow ID", {_bucket_sql()} AS bucket FROM flows WHERE {_bucket_sql()} >= 15"""))
+def q_split_holdout_buckets(spark, sf_dir):
+    path = scratch_path(spark, "rechunk")
+    W.rechunk(flows(spark, sf_dir).select("Flow ID"), qcol("Flow ID"), path, 20)
+    return W.read_buckets(spark, path, 15, 19).select("Flow ID", "bucket")
+
+
+_ = (MODELS, ATTACKS)
