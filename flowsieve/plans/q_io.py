@@ -41,7 +41,8 @@ def _stem_sql():
 
 
 @register("scan_flow_csv", sql(FLOWS_SQL, body=f"""
-SELECT "Flow ID", "Source IP", "Protocol", "Flow Bytes/s", "Label", {_stem_sql()} AS file FROM flows"""))
+SELECT "Flow ID", nullif("Source IP", '') AS "Source IP", "Protocol", "Flow Bytes/s", "Label", {_stem_sql()} AS file
+FROM flows"""))
 def q_scan_flow_csv(spark, sf_dir):
     df = FS.read_flow_csv(spark, _flows_csv(spark, sf_dir))
     return df.select("Flow ID", "Source IP", "Protocol", "Flow Bytes/s", "Label", FS.file_stem().alias("file"))
@@ -154,7 +155,8 @@ def q_sink_report(spark, sf_dir):
     # each written file is the text plus the line terminator of the text writer
     return back.select(F.regexp_extract("path", r"/model=([^/]+)/", 1).alias("model"),
                        F.regexp_extract("path", r"/attack=([^/]+)/", 1).alias("attack"),
-                       F.regexp_replace("text", "\n$", "").alias("text"))
+                       F.when(F.col("text").endswith("\n"), F.expr("substring(text, 1, length(text) - 1)"))
+                       .otherwise(F.col("text")).alias("text"))
 
 
 @register("sink_predictions", sql(*BASE_CTES, RULE_PAIRS_SQL, body="SELECT flow_id, y, p FROM pairs"))

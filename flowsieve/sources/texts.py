@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def read_whole_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """(path, text): one row per file, recursive; undecodable bytes are replaced, not fatal."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", glob).text(path))
+    # (the wholetext flag must go through text(): its keyword default would override an option())
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
