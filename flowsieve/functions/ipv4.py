@@ -12,20 +12,40 @@ _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_PATTERN = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 
 
+def ipv4_split(c) -> Column:
+    """The dotted-quad parts; compute once (own projection) when several expressions use them."""
+    return F.split(as_col(c), r"\.", -1)
+
+
+def ipv4_parts_to_int(parts) -> Column:
+    """Strict conversion from split parts (see ``ipv4_to_int``)."""
+    parts = as_col(parts)
+    octs = [F.get(parts, i) for i in range(4)]
+    ints = [o.try_cast("int") for o in octs]
+    ok = F.size(parts) == 4
+    for o, i in zip(octs, ints):
+        ok = ok & i.between(0, 255) & (i.cast("string") == o)
+    value = (ints[0].cast("bigint") * F.lit(16777216) + ints[1].cast("bigint") * F.lit(65536)
+             + ints[2].cast("bigint") * F.lit(256) + ints[3].cast("bigint"))
+    return F.when(F.coalesce(ok, F.lit(False)), value).cast("bigint")
+
+
 def ipv4_to_int(c) -> Column:
-    """Strict conversion; anything that is not a dotted quad becomes null."""
-    c = as_col(c)
-    parts = F.split(c, r"\.")
-    value = (parts.getItem(0).cast("bigint") * F.lit(16777216)
-             + parts.getItem(1).cast("bigint") * F.lit(65536)
-             + parts.getItem(2).cast("bigint") * F.lit(256)
-             + parts.getItem(3).cast("bigint"))
-    return F.when(c.rlike(IPV4_PATTERN), value).cast("bigint")
+    """Strict conversion; anything that is not a dotted quad becomes null.
+
+    Regex-free (same language as ``IPV4_PATTERN``): split on '.', and an octet is valid
+    when it parses as an int in 0..255 and prints back to exactly the same text (which
+    rejects signs, blanks and leading zeros). For wide projections prefer
+    ``ipv4_split`` in one select and ``ipv4_parts_to_int`` in the next, so the split runs
+    once per value (Catalyst keeps the two projections apart because the split is
+    referenced many times)."""
+    return ipv4_parts_to_int(ipv4_split(c))
 
 
-def ipv4_to_int_null0(c) -> Column:
+def ipv4_to_int_null0(c, parts=None) -> Column:
     """Strict conversion with missing or invalid addresses mapped to 0."""
-    return F.coalesce(ipv4_to_int(c), F.lit(0).cast("bigint"))
+    v = ipv4_parts_to_int(parts) if parts is not None else ipv4_to_int(c)
+    return F.coalesce(v, F.lit(0).cast("bigint"))
 
 
 def ipv4_to_int_safe(c) -> Column:

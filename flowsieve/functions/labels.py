@@ -20,18 +20,22 @@ def _case(c: Column, pairs, default=None) -> Column:
     return out.otherwise(default if default is not None else F.lit(None))
 
 
+def _map_literal(mapping: dict) -> Column:
+    return F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
+
+
 def map_label(c, mapping: dict | None = None) -> Column:
-    """name -> id via a fixed mapping; unknown names -> null."""
+    """name -> id via a fixed mapping; unknown names -> null (one hash lookup in a map literal)."""
     mapping = mapping or ATTACK_MAPPING_V1
-    return _case(as_col(c), mapping.items()).cast("int")
+    return F.try_element_at(_map_literal(mapping), as_col(c)).cast("int")
 
 
 def map_label_inverse(c, mapping: dict | None = None) -> Column:
     """id -> name; ids outside the mapping fall back to their decimal text."""
     mapping = mapping or ATTACK_MAPPING_V1
     c = as_col(c)
-    inv = [(v, k) for k, v in mapping.items()]
-    return F.coalesce(_case(c, inv), c.cast("string"))
+    inv = {v: k for k, v in mapping.items()}
+    return F.coalesce(F.try_element_at(_map_literal(inv), c), c.cast("string"))
 
 
 def known_label(c, mapping: dict | None = None) -> Column:

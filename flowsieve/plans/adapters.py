@@ -29,10 +29,7 @@ IP_COLUMNS = ["Source IP", "Destination IP"]
 
 
 def _flag_label(code):
-    out = None
-    for k, v in FLAG_LABELS:
-        out = F.when(code == k, v) if out is None else out.when(code == k, v)
-    return out
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in FLAG_LABELS for x in kv]), code)
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.functions.ipv4 import ipv4_to_int_null0
+from flowsieve.functions.ipv4 import ipv4_split, ipv4_to_int_null0
 from flowsieve.functions.labels import map_label
 from flowsieve.functions.numbers import inf_to_zero
 from flowsieve.functions.util import qcol
@@ -17,14 +17,20 @@ PREP_FEATURES = FEATURES + IP_COLUMNS
 
 def prepared_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """flows -> IPs as integers (invalid/missing 0) -> inf/NaN/null features 0 -> label id
-    (fixed 11-class mapping) -> rows with a known label. One projection + one filter."""
+    (fixed 11-class mapping) -> rows with a known label.
+
+    Two projections: the first splits each address once, the second derives everything
+    from the parts (the split is too costly to repeat per octet check)."""
     f = flows(spark, sf_dir)
     y = map_label(qcol("Label"))
-    return f.select(
+    staged = f.select(
         qcol("Flow ID").alias("flow_id"), y.alias("y"), "Protocol", "source_file", "chunk_id",
         *[inf_to_zero(qcol(c)).alias(c) for c in FEATURES],
-        *[ipv4_to_int_null0(qcol(c)).cast("double").alias(c) for c in IP_COLUMNS],
+        *[ipv4_split(qcol(c)).alias(f"_parts_{i}") for i, c in enumerate(IP_COLUMNS)],
     ).where(F.col("y").isNotNull())
+    return staged.select(
+        "flow_id", "y", "Protocol", "source_file", "chunk_id", *[qcol(c) for c in FEATURES],
+        *[ipv4_to_int_null0(None, F.col(f"_parts_{i}")).cast("double").alias(c) for i, c in enumerate(IP_COLUMNS)])
 
 
 PREPARED_SQL = sqlgen.prepared_cte()

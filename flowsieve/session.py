@@ -22,8 +22,22 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Flow tables are wide; a whole-stage method above the JVM's 8000-byte JIT limit runs
+    # interpreted (5x slower here). Fall back to per-operator codegen instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Session-level SQL settings that are safe to apply to a session someone else built.
+RUNTIME_SQL_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def apply_runtime_conf(spark: SparkSession) -> None:
+    for k, v in RUNTIME_SQL_CONF.items():
+        spark.conf.set(k, v)
+
 
 def get_spark(master: str | None = None, app: str = "flowsieve",
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
