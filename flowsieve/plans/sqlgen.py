@@ -90,7 +90,8 @@ pc AS (SELECT c, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS pre
               CASE WHEN support + predicted > 0 THEN CAST(2 * tp AS DOUBLE) / (support + predicted) ELSE 0.0 END AS f1,
               support, tp FROM st),
 tot AS (SELECT sum(support) AS n, sum(tp) AS tp, avg(prec) AS mp, avg(rec) AS mr, avg(f1) AS mf,
-               sum(prec * support) AS wp, sum(rec * support) AS wr, sum(f1 * support) AS wf FROM pc)"""
+               sum(prec * support) AS wp, sum(rec * support) AS wr, sum(f1 * support) AS wf FROM pc
+       HAVING sum(support) IS NOT NULL)"""
     body = f"""
 SELECT CAST(c AS VARCHAR) AS label, {round6('prec')} AS "precision", {round6('rec')} AS recall,
        {round6('f1')} AS f1_score, CAST(support AS BIGINT) AS support FROM pc
