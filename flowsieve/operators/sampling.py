@@ -87,12 +87,14 @@ def weighted_resample(df: DataFrame, key, weight: str, n: int, total_weight: flo
 # Exact bounded rank per group without sorting a whole group in one task.
 # --------------------------------------------------------------------------------------
 
-def bounded_rank_filter(df: DataFrame, group: str, order_hash: str, tiebreak: str, limit: str,
+def bounded_rank_filter(df: DataFrame, group: str, order_hash: str, tiebreak: str, limit,
                         levels: int = 16) -> DataFrame:
-    """Keep, in each group, the rows ranked <= ``limit`` by (order_hash, tiebreak).
+    """Keep, in each group, the rows ranked <= quota by (order_hash, tiebreak).
 
-    ``order_hash`` is a 32-bit value; ``limit`` a per-row column with the group's quota.
-    A group can hold a third of the data, so we never window over a whole group:
+    ``order_hash`` is a 32-bit value. ``limit`` is either a column name holding the group's
+    quota or a function count_column -> quota column (the group size then comes from the
+    histogram, saving a pass). A group can hold a third of the data, so we never window
+    over a whole group:
 
     1. histogram (group, order_hash >> levels) -> counts; tiny, partially aggregated.
     2. cumulative counts per group over that histogram (a window over the histogram,
@@ -101,25 +103,29 @@ def bounded_rank_filter(df: DataFrame, group: str, order_hash: str, tiebreak: st
        bucket (about 2**-(32-levels) of the group) are ranked with ``row_number``.
     """
     b = F.shiftright(F.col(order_hash), levels)
-    hist = df.groupBy(group, b.alias("_b")).agg(F.count(F.lit(1)).alias("_cnt"), F.first(limit).alias("_lim"))
+    if callable(limit):
+        hist = df.groupBy(group, b.alias("_b")).agg(F.count(F.lit(1)).alias("_cnt"))
+        hist = hist.withColumn("_lim", limit(F.sum("_cnt").over(Window.partitionBy(group))))
+    else:
+        hist = df.groupBy(group, b.alias("_b")).agg(F.count(F.lit(1)).alias("_cnt"), F.first(limit).alias("_lim"))
     w = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = hist.withColumn("_cum", F.sum("_cnt").over(w)).withColumn("_before", F.col("_cum") - F.col("_cnt"))
     # boundary: first bucket whose cumulative count reaches the quota (null -> group fits entirely)
     bnd = (hist.where(F.col("_cum") >= F.col("_lim"))
-           .groupBy(group).agg(F.min(F.struct("_b", "_before")).alias("_m"))
-           .select(group, F.col("_m._b").alias("_bb"), F.col("_m._before").alias("_bbefore")))
+           .groupBy(group).agg(F.min(F.struct("_b", "_before", "_lim")).alias("_m"))
+           .select(group, F.col("_m._b").alias("_bb"), F.col("_m._before").alias("_bbefore"),
+                   F.col("_m._lim").alias("_blim")))
     d = df.withColumn("_b", b).join(bnd, group, "left")
     keep_all = d.where(F.col("_bb").isNull() | (F.col("_b") < F.col("_bb")))
     edge = d.where(F.col("_b") == F.col("_bb"))
     we = Window.partitionBy(group, "_b").orderBy(order_hash, tiebreak)
-    edge = edge.withColumn("_r", F.row_number().over(we)).where(F.col("_r") + F.col("_bbefore") <= F.col(limit)).drop("_r")
-    return keep_all.unionByName(edge).drop("_b", "_bb", "_bbefore")
+    edge = (edge.withColumn("_r", F.row_number().over(we))
+            .where(F.col("_r") + F.col("_bbefore") <= F.col("_blim")).drop("_r"))
+    return keep_all.unionByName(edge).drop("_b", "_bb", "_bbefore", "_blim")
 
 
 def sample_exact_per_group(df: DataFrame, group: str, key: str, fraction: float, minimum: int = 1) -> DataFrame:
     """Exactly max(minimum, floor(count * fraction)) rows of each group, chosen by key hash."""
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
-    quota = F.greatest(F.lit(minimum), F.floor(F.col("_gn") * F.lit(fraction))).cast("bigint")
-    d = (df.join(counts, group, "left").withColumn("_q", quota)
-         .withColumn("_h", md5_u32(key)).withColumn("_k", as_col(key).cast("string")))
-    return bounded_rank_filter(d, group, "_h", "_k", "_q").drop("_gn", "_q", "_h", "_k")
+    d = df.withColumn("_h", md5_u32(key)).withColumn("_k", as_col(key).cast("string"))
+    quota = lambda n: F.greatest(F.lit(minimum), F.floor(n * F.lit(fraction))).cast("bigint")
+    return bounded_rank_filter(d, group, "_h", "_k", quota).drop("_h", "_k")
