@@ -85,7 +85,7 @@ def _lines(spark, sf_dir):
     return PL.read_log_lines(spark, write_packet_log(spark, sf_dir))
 
 
-def _filled_packets(spark, sf_dir, split_bytes: int = 64 * 1024):
+def _filled_packets(spark, sf_dir, split_bytes: int = 1024 * 1024):
     """Parse + forward-fill with small input splits (records straddle split boundaries),
     materialised to the shared scratch folder while that split size is in effect."""
     path = write_packet_log(spark, sf_dir)
