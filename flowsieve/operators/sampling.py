@@ -60,8 +60,8 @@ def class_weights(df: DataFrame, label: str, classes: list[int]) -> DataFrame:
     spark = df.sparkSession
     cls = spark.createDataFrame([(int(c),) for c in classes], "c int")
     cnt = df.groupBy(F.col(label).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("cnt"))
-    total = cnt.agg(F.sum("cnt").alias("total"))
-    j = cls.join(cnt, "c", "left").crossJoin(total)
+    # total over the C-row count table (a window over at most C rows)
+    j = cls.join(cnt, "c", "left").withColumn("total", F.sum("cnt").over(Window.partitionBy()))
     w = F.when(F.col("cnt") > 0, F.col("total") / (F.lit(len(classes)) * F.col("cnt"))).otherwise(F.lit(0.0))
     return j.select("c", F.coalesce(F.col("cnt"), F.lit(0)).cast("bigint").alias("count"), w.alias("weight"))
 
