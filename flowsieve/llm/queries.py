@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import mixing
+from flowsieve.llm import mixing, simhash
 from flowsieve.llm.common import documents
 
 QUERIES: dict = {}
@@ -17,3 +17,8 @@ def query(fn):
 @query
 def op8_mix_sources(spark, sf_dir):
     return mixing.mix_report(documents(spark, sf_dir))
+
+
+@query
+def op7_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
