@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import mixing, simhash
+from flowsieve.llm import bpe, mixing, simhash
 from flowsieve.llm.common import documents
 
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -22,3 +24,10 @@ def op8_mix_sources(spark, sf_dir):
 @query
 def op7_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op6_bpe_encode_decode(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
