@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import bpe, mixing, simhash
+from flowsieve.llm import bitsliced, bpe, mixing, simhash
 from flowsieve.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,3 +31,19 @@ def op6_bpe_encode_decode(spark, sf_dir):
     import public_tokenizers
 
     return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
+@query
+def op3_bit_sliced_top_k(spark, sf_dir):
+    return bitsliced.top_inner_products(documents(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op3_bit_sliced_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
