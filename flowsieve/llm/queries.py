@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import bitsliced, bpe, mixing, simhash
+from flowsieve.llm import bitsliced, bpe, licenses, mixing, simhash
 from flowsieve.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,3 +47,8 @@ s AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+@query
+def op9_license_scan(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
