@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import bitsliced, bpe, licenses, mixing, simhash
+from flowsieve.llm import bitsliced, bpe, licenses, mixing, pii, simhash
 from flowsieve.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -52,3 +52,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 @query
 def op9_license_scan(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
+
+
+@query
+def op4_pii_sanitise(spark, sf_dir):
+    return pii.find(documents(spark, sf_dir))
