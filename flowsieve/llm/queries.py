@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import bitsliced, bpe, licenses, mixing, pii, simhash
+from flowsieve.llm import bitsliced, bpe, licenses, mixing, parsing, pii, simhash
 from flowsieve.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -57,3 +57,8 @@ def op9_license_scan(spark, sf_dir):
 @query
 def op4_pii_sanitise(spark, sf_dir):
     return pii.find(documents(spark, sf_dir))
+
+
+@query
+def op10_document_fingerprints(spark, sf_dir):
+    return parsing.edited_fingerprints(documents(spark, sf_dir))
