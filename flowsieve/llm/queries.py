@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import bitsliced, bpe, licenses, mixing, parsing, pii, simhash
+from flowsieve.llm import bitsliced, bpe, licenses, mixing, parsing, pii, quality, simhash
 from flowsieve.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -62,3 +62,8 @@ def op4_pii_sanitise(spark, sf_dir):
 @query
 def op10_document_fingerprints(spark, sf_dir):
     return parsing.edited_fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op2_quality_cnn(spark, sf_dir):
+    return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
