@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import bitsliced, bpe, licenses, mixing, parsing, pii, quality, simhash
+from flowsieve.llm import bitsliced, bpe, licenses, mixing, parsing, pii, quality, simhash, toxicity
 from flowsieve.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,3 +67,8 @@ def op10_document_fingerprints(spark, sf_dir):
 @query
 def op2_quality_cnn(spark, sf_dir):
     return quality.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@query
+def op5_toxicity_chain(spark, sf_dir):
+    return toxicity.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
