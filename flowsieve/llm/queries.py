@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import bitsliced, bpe, licenses, mixing, parsing, pii, quality, simhash, toxicity
+from flowsieve.llm import bitsliced, bpe, licenses, mixing, parsing, pii, quality, simhash, suffixes, toxicity
 from flowsieve.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,3 +72,8 @@ def op2_quality_cnn(spark, sf_dir):
 @query
 def op5_toxicity_chain(spark, sf_dir):
     return toxicity.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    return suffixes.dedup(documents(spark, sf_dir))
