@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from flowsieve.functions.util import as_col
-from flowsieve.schema import ATTACK_MAPPING_V1, ATTACK_MAPPING_V4
+from flowsieve.schema import ATTACK_MAPPING_V1, ATTACK_MAPPING_V4, LABEL_ALIASES
 
 
 def _case(c: Column, pairs, default=None) -> Column:
@@ -24,9 +24,14 @@ def _map_literal(mapping: dict) -> Column:
     return F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
 
 
+def with_aliases(mapping: dict) -> dict:
+    """The mapping with the other spellings of its names."""
+    return mapping | {alias: mapping[name] for alias, name in LABEL_ALIASES.items() if name in mapping}
+
+
 def map_label(c, mapping: dict | None = None) -> Column:
-    """name -> id via a fixed mapping; unknown names -> null (one hash lookup in a map literal)."""
-    mapping = mapping or ATTACK_MAPPING_V1
+    """name or alias -> id via a fixed mapping; unknown names -> null (one lookup in a map literal)."""
+    mapping = with_aliases(mapping or ATTACK_MAPPING_V1)
     return F.try_element_at(_map_literal(mapping), as_col(c)).cast("int")
 
 
@@ -39,8 +44,7 @@ def map_label_inverse(c, mapping: dict | None = None) -> Column:
 
 
 def known_label(c, mapping: dict | None = None) -> Column:
-    mapping = mapping or ATTACK_MAPPING_V1
-    return as_col(c).isin(list(mapping))
+    return as_col(c).isin(list(with_aliases(mapping or ATTACK_MAPPING_V1)))
 
 
 def infer_label(c, file_label, mapping: dict | None = None) -> Column:

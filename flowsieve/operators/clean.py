@@ -14,6 +14,7 @@ from flowsieve.functions.labels import known_label
 from flowsieve.functions.numbers import inf_to_sentinel, inf_to_zero
 from flowsieve.functions.util import qcol
 from flowsieve.schema import NON_FEATURE_COLUMNS
+from flowsieve.session import scratch_path
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -123,14 +124,18 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 def row_index(df: DataFrame, order_cols: list[str], out: str = "idx") -> DataFrame:
     """0-based running index in ``order_cols`` order without a single-partition window.
 
-    Range-sort (parallel), tag rows with ``monotonically_increasing_id`` (partition id in
-    the high bits), count rows per partition (a #partitions-row table), turn the counts
-    into offsets with a window over that tiny table, and add offset + position."""
-    s = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.withColumn("_pid", F.shiftright("_mid", 33))
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_first"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    j = s.join(F.broadcast(offsets.select("_pid", "_off", "_first")), "_pid")
-    return j.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint")) \
-        .drop("_mid", "_pid", "_off", "_first")
+    The rows are range-sorted once and written to the shared folder: part files follow each
+    other in order and every file is sorted. A row's index is the number of rows in earlier files
+    (a window over one row per file) plus its position in its file, both fixed by what was
+    written, so no second shuffle or retry can see other positions. Rows that are equal on
+    ``order_cols`` follow a hash of the whole row, which also splits a hot key's range."""
+    path = scratch_path(df.sparkSession, "row-index")
+    tie = F.xxhash64(*[qcol(c) for c, kind in df.dtypes if not kind.startswith("map")])
+    df.orderBy(*order_cols, tie).write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path).select(
+        *[qcol(c) for c in df.columns], F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    counts = back.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return back.join(offsets, "_file").withColumn(out, (F.col("_before") + F.col("_at")).cast("bigint")) \
+        .drop("_file", "_at", "_before")

@@ -60,8 +60,9 @@ def class_weights(df: DataFrame, label: str, classes: list[int]) -> DataFrame:
     spark = df.sparkSession
     cls = spark.createDataFrame([(int(c),) for c in classes], "c int")
     cnt = df.groupBy(F.col(label).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("cnt"))
-    # total over the C-row count table (a window over at most C rows)
-    j = cls.join(cnt, "c", "left").withColumn("total", F.sum("cnt").over(Window.partitionBy()))
+    # total over all rows, also those of labels outside ``classes`` (a window over the count table)
+    cnt = cnt.withColumn("total", F.sum("cnt").over(Window.partitionBy()))
+    j = cls.join(cnt, "c", "left")
     w = F.when(F.col("cnt") > 0, F.col("total") / (F.lit(len(classes)) * F.col("cnt"))).otherwise(F.lit(0.0))
     return j.select("c", F.coalesce(F.col("cnt"), F.lit(0)).cast("bigint").alias("count"), w.alias("weight"))
 
@@ -115,13 +116,15 @@ def bounded_rank_filter(df: DataFrame, group: str, order_hash: str, tiebreak: st
            .groupBy(group).agg(F.min(F.struct("_b", "_before", "_lim")).alias("_m"))
            .select(group, F.col("_m._b").alias("_bb"), F.col("_m._before").alias("_bbefore"),
                    F.col("_m._lim").alias("_blim")))
-    d = df.withColumn("_b", b).join(bnd, group, "left")
-    keep_all = d.where(F.col("_bb").isNull() | (F.col("_b") < F.col("_bb")))
-    edge = d.where(F.col("_b") == F.col("_bb"))
-    we = Window.partitionBy(group, "_b").orderBy(order_hash, tiebreak)
-    edge = (edge.withColumn("_r", F.row_number().over(we))
-            .where(F.col("_r") + F.col("_bbefore") <= F.col("_blim")).drop("_r"))
-    return keep_all.unionByName(edge).drop("_b", "_bb", "_bbefore", "_blim")
+    # null is a group like any other; rows above the boundary go at once, and only rows in it share
+    # a window partition: all others are spread by their hash
+    bnd = bnd.withColumnRenamed(group, "_g")
+    d = df.withColumn("_b", b).join(bnd, F.col(group).eqNullSafe(F.col("_g")), "left")
+    d = d.where(F.col("_bb").isNull() | (F.col("_b") <= F.col("_bb")))
+    at_edge = F.coalesce(F.col("_b") == F.col("_bb"), F.lit(False))
+    we = Window.partitionBy(group, "_b", F.when(~at_edge, F.col(order_hash))).orderBy(order_hash, tiebreak)
+    return (d.withColumn("_r", F.row_number().over(we)).where(~at_edge | (F.col("_r") + F.col("_bbefore") <= F.col("_blim")))
+            .drop("_b", "_bb", "_bbefore", "_blim", "_g", "_r"))
 
 
 def sample_exact_per_group(df: DataFrame, group: str, key: str, fraction: float, minimum: int = 1) -> DataFrame:

@@ -128,10 +128,11 @@ def q_union_files(spark, sf_dir):
 
 
 @register("row_index", fsql(
-    'SELECT CAST(row_number() OVER (ORDER BY "Flow ID") - 1 AS BIGINT) AS idx, "Flow ID" FROM flows '
-    'WHERE "Label" IS NOT NULL'))
+    'SELECT CAST(row_number() OVER (ORDER BY "Flow ID") - 1 AS BIGINT) AS idx, "Flow ID", "Label", "Packets", "Bytes", '
+    '"Destination IP", "Protocol" FROM flows WHERE "Label" IS NOT NULL'))
 def q_row_index(spark, sf_dir):
-    f = flows(spark, sf_dir).where(qcol("Label").isNotNull()).select("Flow ID")
+    f = flows(spark, sf_dir).where(qcol("Label").isNotNull()).select(
+        "Flow ID", "Label", "Packets", "Bytes", "Destination IP", "Protocol")
     return clean.row_index(f, ["Flow ID"], "idx")
 
 

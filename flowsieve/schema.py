@@ -19,6 +19,8 @@ ATTACK_MAPPING_V4 = {
     "DrDoS_NTP": 5, "DrDoS_SNMP": 6, "DrDoS_SSDP": 7, "DrDoS_UDP": 8,
     "Syn": 9, "TFTP": 10, "UDPLag": 11,
 }
+# Other spellings of the attack names.
+LABEL_ALIASES = {"UDP-lag": "UDPLag"}
 # Identifier / text columns that are never features.
 NON_FEATURE_COLUMNS = ["Label", "Flow ID", "Timestamp", "SimillarHTTP", "Inbound"]
 # Replacement for +/- infinity in the sentinel policy.
@@ -27,9 +29,6 @@ INF_SENTINEL = 1e10
 VOTE_WEIGHTS = (0.6, 0.4)
 # ---------------------------------------------------------------------------
 
-INVERSE_V1 = {v: k for k, v in ATTACK_MAPPING_V1.items()}
-INVERSE_V4 = {v: k for k, v in ATTACK_MAPPING_V4.items()}
-
 
 def mapping_rows(version: int = 1) -> list[tuple[str, int]]:
     m = ATTACK_MAPPING_V1 if version == 1 else ATTACK_MAPPING_V4
@@ -41,23 +40,3 @@ def mapping_df(spark, version: int = 1):
     schema = T.StructType([T.StructField("name", T.StringType(), False),
                            T.StructField("id", T.IntegerType(), False)])
     return spark.createDataFrame(mapping_rows(version), schema)
-
-
-# Packet-log record fields (in order of appearance in a log line).
-PACKET_FIELDS = ["packet_id", "source_ip", "dest_ip", "source_port", "dest_port", "protocol",
-                 "flags", "ttl", "volume", "spoofed", "attack_type"]
-
-RESULT_SCHEMA = T.StructType([
-    T.StructField("folder", T.StringType()),
-    T.StructField("file", T.StringType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("attack", T.StringType()),
-    T.StructField("attack_id", T.IntegerType()),
-    T.StructField("total_samples", T.LongType()),
-    T.StructField("num_chunks", T.IntegerType()),
-    T.StructField("accuracy_percent", T.DoubleType()),
-    T.StructField("f1", T.DoubleType()),
-    T.StructField("mre", T.DoubleType()),
-    T.StructField("mra", T.DoubleType()),
-    T.StructField("total_time_s", T.DoubleType()),
-])

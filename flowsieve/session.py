@@ -65,7 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        # Unset: a test or a local run.  A cluster always names a shared folder.
+        # Unset: a test or a local run. On a cluster a machine-local folder would lose data.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="flowsieve-ckpt-", dir=os.environ.get("FLOWSIEVE_TMP", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)

@@ -9,8 +9,7 @@ from flowsieve.functions.util import md5_u32
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    """CSV with a header line even when empty (Spark writes the header per non-empty part;
-    an empty frame still produces one header-only part via coalesce(1) of zero rows)."""
+    """CSV with a header line in every part file (an empty frame still writes one part)."""
     df.write.mode("overwrite").option("header", header).csv(path)
 
 
@@ -21,10 +20,16 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def rechunk(df: DataFrame, key, path: str, buckets: int = 20) -> None:
     """Deterministic shuffle of rows into ``buckets`` directories (bucket=<b>) in one pass.
 
-    bucket = md5(key) mod buckets; ``repartition(bucket)`` sends each bucket to one writer
-    so every bucket directory is a few large files, and later reads prune by bucket."""
-    b = (md5_u32(key) % F.lit(buckets)).cast("int").alias("bucket")
-    df.select("*", b).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    bucket = md5(key) mod buckets; rows are dealt to writers by (bucket, salt), as many salts as
+    the session's shuffle partitions give room for, so a bucket is several files written by several
+    tasks, and later reads prune by bucket."""
+    h = md5_u32(key)
+    b = (h % F.lit(buckets)).cast("int").alias("bucket")
+    room = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, -(-room // buckets))
+    salt = (F.floor(h / F.lit(buckets)) % F.lit(salts)).alias("_salt")
+    df.select("*", b, salt).repartition(max(room, buckets), "bucket", "_salt").drop("_salt") \
+        .write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_buckets(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:

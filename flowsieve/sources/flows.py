@@ -73,12 +73,13 @@ def rows_per_file(df: DataFrame, path_col: str = "file_path") -> DataFrame:
 
 
 def head_per_file(df: DataFrame, n: int, order_cols: list[str], path_col: str = "file_path") -> DataFrame:
-    """First ``n`` rows of every file by ``order_cols``.
+    """First ``n`` rows of every file by ``order_cols``, at any ``n``.
 
-    ``row_number() <= n`` lets Spark plan a partial WindowGroupLimit before the shuffle
-    (n <= spark.sql.optimizer.windowGroupLimitThreshold), so a huge file never sends
-    more than n rows per map task to the ranking task."""
+    A first rank inside (file, input partition) drops what can't be among the first n of its file, so
+    the second one, over the whole file, sees at most n rows of each input task."""
     from pyspark.sql import Window
-    w = Window.partitionBy("_file").orderBy(*order_cols)
-    return (df.withColumn("_file", file_stem(path_col)).withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= n).drop("_rn"))
+    d = df.withColumn("_file", file_stem(path_col)).withColumn("_task", F.spark_partition_id())
+    for part in (["_file", "_task"], ["_file"]):
+        w = Window.partitionBy(*part).orderBy(*order_cols)
+        d = d.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return d.drop("_task")

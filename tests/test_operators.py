@@ -103,6 +103,34 @@ def test_row_index(spark):
     assert [i for i, _ in out] == list(range(500)) and [k for _, k in out] == sorted(k for _, k in out)
 
 
+def test_row_index_of_wide_rows_written_out(spark, tmp_path):
+    n = 300_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).alias("k"), F.md5(F.col("id").cast("string")).alias("a b"), F.rand(3).alias("r"))
+    row_index(df, ["k"]).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == n and out.where("idx <> k").count() == 0
+    same = row_index(spark.range(5000).select(F.lit(1).alias("k"), "id"), ["k"])  # one key only
+    assert sorted(r.idx for r in same.collect()) == list(range(5000))
+    assert row_index(df.limit(0), ["k"]).collect() == []
+
+
+def test_knn_is_exact_with_equal_rows_and_large_offsets(spark):
+    t = spark.createDataFrame([(i, [1.0, 2.0], i % 3) for i in range(400)], "id long, v array<double>, label int")
+    q = spark.createDataFrame([(1000, [1.0, 2.1])], "id long, v array<double>")
+    nb = knn.knn_neighbors(q, t, 7, "id", "v", "label", block_rows=100)
+    assert [r.tid for r in nb.orderBy("rank").collect()] == list(range(7))
+    assert knn.knn_classify(q, t, 7, "id", "v", "label").first().prediction == 0
+    t = spark.createDataFrame([(i, [3.2e9 + i, 1.0], 0) for i in range(400)], "id long, v array<double>, label int")
+    q = spark.createDataFrame([(0, [3.2e9 + 200.4, 1.0])], "id long, v array<double>")
+    assert [r.tid for r in knn.knn_neighbors(q, t, 5, "id", "v", "label").orderBy("rank").collect()] == [200, 201, 199, 202, 198]
+
+
+def test_exact_sample_of_a_null_group(spark):
+    df = spark.range(600).select(F.when(F.col("id") % 2 == 0, F.lit("g")).alias("g"), "id")
+    out = S.sample_exact_per_group(df, "g", "id", 1 / 30).groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in out} == {"g": 10, None: 10}
+
+
 def test_knn_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     X = rng.normal(size=(240, 8))

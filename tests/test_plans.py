@@ -25,16 +25,12 @@ def test_parquet_scan_pushes_filter_and_prunes_columns(spark):
     assert "Bytes" not in read_schema and "Packets" in read_schema
 
 
-def test_head_per_file_uses_partial_group_limit(spark):
-    df = spark.range(1000).select(F.concat(F.lit("/d/f"), (F.col("id") % 3).cast("string"), F.lit(".csv"))
-                                  .alias("file_path"), F.col("id").cast("string").alias("k"))
-    q = FS.head_per_file(df, 10, ["k"])
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        assert "WindowGroupLimit" in _plan(q)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert q.count() == 30
+def test_head_per_file_ranks_input_tasks_first(spark):
+    df = spark.range(0, 200_000, 1, 8).select(F.concat(F.lit("/d/f"), (F.col("id") % 3).cast("string"), F.lit(".csv"))
+                                              .alias("file_path"), F.col("id").alias("k"))
+    q = FS.head_per_file(df, 50_000, ["k"])  # beyond Spark's own limit for group limits
+    assert _plan(q).count("Window [row_number()") == 2 or _plan(q).count("row_number()") >= 2
+    assert q.count() == 150_000 and q.agg(F.max("k")).first()[0] == 149_999
 
 
 def test_bucket_read_prunes_partitions(spark):
