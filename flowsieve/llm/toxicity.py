@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import named
+from flowsieve.llm.common import Sealed, named, pick
 from flowsieve.llm.quality import labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -41,18 +41,23 @@ def word_set(text: str | None) -> set[str]:
     return words | {w[:4] + "-" for w in words} | {w[:5] + "-" for w in words}
 
 
-def telling_words(sets: list[set[str]], y: np.ndarray, most: int) -> list[str]:
-    """Words whose smoothed log-odds between the classes stand out most from their own noise."""
+def telling_words(texts: list[str], y: np.ndarray, most: int, least: int = 3) -> list[str]:
+    """Words of at least ``least`` toxic texts whose smoothed log-odds between the classes stand out
+    most from their own noise. Only these words are ever counted outside the toxic texts."""
     inside, outside = Counter(), Counter()
-    for s, v in zip(sets, y, strict=True):
-        (inside if v else outside).update(s)
+    for t, v in zip(texts, y, strict=True):
+        if v:
+            inside.update(word_set(t))
+    inside = Counter({w: n for w, n in inside.items() if n >= least})
+    for t, v in zip(texts, y, strict=True):
+        if not v:
+            outside.update(word_set(t) & inside.keys())
     n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
 
     def z(w):
         a, b = inside[w] + 0.5, outside[w] + 0.5 * n0 / n1
         return abs(np.log(a / n1) - np.log(b / n0)) / np.sqrt(1 / a + 1 / b)
-    words = [w for w in inside.keys() | outside.keys() if inside[w] + outside[w] >= 3]
-    return sorted(words, key=lambda w: (-z(w), w))[:most]
+    return sorted(inside, key=lambda w: (-z(w), w))[:most]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 0.03, rounds: int = 15) -> np.ndarray:
@@ -92,16 +97,16 @@ class Chain:
         self.words, self.categories, self.weights = {w: i for i, w in enumerate(words)}, categories, weights
         self.threshold = threshold
 
-    def matrix(self, sets: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(sets), len(self.words)))
-        for i, s in enumerate(sets):
-            for w in s & self.words.keys():
+    def matrix(self, texts: list[str | None]) -> np.ndarray:
+        x = np.zeros((len(texts), len(self.words)))
+        for i, t in enumerate(texts):
+            for w in word_set(t) & self.words.keys():
                 x[i, self.words[w]] = 1.0
         return x
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         """(texts x categories); each is an input of the ones after it."""
-        x = self.matrix([word_set(t) for t in texts])
+        x = self.matrix(texts)
         out = np.zeros((len(texts), 0))
         for w in self.weights:
             out = np.column_stack([out, predict(np.column_stack([x, out]), w)])
@@ -110,14 +115,14 @@ class Chain:
 
 def train(sample: list[tuple[str, int]], max_words: int = 256, folds: int = 3) -> Chain:
     """Chain fitted to (text, toxic). Without both labels every probability is the share of ones."""
-    sets, y = [word_set(t) for t, _ in sample], np.array([v for _, v in sample], float)
-    chain = Chain(telling_words(sets, y, max_words), [*SEEDS, LABEL], [])
-    x = chain.matrix(sets)
+    texts, y = [t for t, _ in sample], np.array([v for _, v in sample], float)
+    chain = Chain(telling_words(texts, y, max_words), [*SEEDS, LABEL], [])
+    x = chain.matrix(texts)
+    seeded = {c: {i for i, t in enumerate(texts) if y[i] and not word_set(t).isdisjoint(seeds)} for c, seeds in SEEDS.items()}
     fold = np.arange(len(y)) % folds  # the sample is ordered by id: equal texts may share a fold or not
     before = np.zeros((len(y), 0))  # out-of-fold probabilities of the categories so far
     for c in chain.categories:
-        seeds = set(SEEDS.get(c, ()))
-        target = y if c == LABEL else np.array([v * bool(s & seeds) for s, v in zip(sets, y, strict=True)])
+        target = y if c == LABEL else np.array([float(i in seeded[c]) for i in range(len(y))])
         inputs = np.column_stack([x, before])
         chain.weights.append(fit_logistic(inputs, target))
         held = np.zeros(len(y))
@@ -155,16 +160,19 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col="do
 
 def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """Per row: id, p_insult, p_contempt, p_threat, score, predicted."""
-    return score(docs.select(named(id_col), named(text_col)), trained(docs, labels, id_col=id_col, text_col=text_col, **options), text_col)
+    return score(pick(docs, **{id_col: id_col, "text": text_col}), trained(docs, labels, id_col=id_col, text_col=text_col, **options), "text")
 
 
 def reject(docs: DataFrame, chain: Chain, text_col="text") -> DataFrame:
     """``docs`` without those that score the chain's threshold or more: rows pass through the map whole."""
+    sealed = Sealed(docs)
+    text = sealed.column(text_col)
+
     def run(batches):
         for b in batches:
-            column, keep = b.column(text_col), []
+            column, keep = b.column(text), []
             for i in range(0, len(column), 256):
                 keep += (chain.probabilities(column.slice(i, 256).to_pylist())[:, -1] < chain.threshold).tolist()
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return sealed.open(sealed.df.mapInArrow(run, sealed.df.schema))
