@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import named, stored
+from flowsieve.llm.common import pick, stored
 
 BLOCK_ROWS = 1 << 16
 BATCH_QUERIES = 64
@@ -118,10 +118,10 @@ def block_top(q: np.ndarray, own: np.ndarray, low, width, maps, n: int, k: int):
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, dims, vector long[]): floor(scale * x); vectors that are null or hold null or
     non-finite components are left out."""
-    v = named(vector_col)
+    df, v = pick(df, id=id_col, v=vector_col), F.col("v")
     finite = F.forall(v, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
     whole = F.transform(v, lambda x: F.floor(F.greatest(F.lit(-1.0 * LARGEST), F.least(F.lit(1.0 * LARGEST), F.lit(float(scale)) * x.cast("double")))).cast("long"))
-    return df.where(F.coalesce(finite, F.lit(False))).select(named(id_col).cast("long").alias("id"), F.size(v).alias("dims"), whole.alias("vector"))
+    return df.where(F.coalesce(finite, F.lit(False))).select(F.col("id").cast("long"), F.size(v).alias("dims"), whole.alias("vector"))
 
 
 def _matrix(column, dims: int) -> np.ndarray:

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import named
+from flowsieve.llm.common import Sealed, named, pick
 
 WORD_TABLE = 300_000  # words a worker keeps; it starts anew beyond that
 PAIR_TABLE = 1_000_000
@@ -211,15 +211,19 @@ def _mapped(df: DataFrame, column: str, fields: list[tuple[str, str, pa.DataType
 
 def encode_documents(docs: DataFrame, path: str, text_col="text") -> DataFrame:
     """``docs`` with ``ids`` (array of token ids) in place of the text. Null and empty texts give
-    no tokens; very long texts are encoded whole; all other columns stay (one named ``ids`` must
-    be renamed first)."""
-    return _mapped(docs, text_col, [("ids", "array<int>", pa.list_(pa.int32()))], lambda t: (loaded(path).encode(t),))
+    no tokens; very long texts are encoded whole; all other columns stay, but one named ``ids``
+    gives way."""
+    sealed = Sealed(docs)
+    text = sealed.column(text_col)
+    return sealed.open(_mapped(sealed.df, text, [("ids", "array<int>", pa.list_(pa.int32()))], lambda t: (loaded(path).encode(t),)), "ids", without=(text,))
 
 
 def decode_documents(tokens: DataFrame, path: str, ids_col="ids") -> DataFrame:
     """``tokens`` with ``decoded`` text in place of the ids; null ids give an empty text."""
-    return _mapped(tokens, ids_col, [("decoded", "string", pa.string())],
-                   lambda ids: (loaded(path).decode_bytes(ids if ids is not None else []).decode("utf-8"),))
+    sealed = Sealed(tokens)
+    ids = sealed.column(ids_col)
+    return sealed.open(_mapped(sealed.df, ids, [("decoded", "string", pa.string())],
+                               lambda v: (loaded(path).decode_bytes(v if v is not None else []).decode("utf-8"),)), "decoded", without=(ids,))
 
 
 def token_digests(docs: DataFrame, path: str, id_col="doc_id", text_col="text") -> DataFrame:
@@ -230,5 +234,5 @@ def token_digests(docs: DataFrame, path: str, id_col="doc_id", text_col="text")
         ids = t.encode(text)
         return len(ids), hashlib.sha256(t.ids_text(ids).encode()).hexdigest(), hashlib.sha256(t.decode_bytes(ids)).hexdigest()
 
-    return _mapped(docs.select(named(id_col), named(text_col)), text_col,
+    return _mapped(pick(docs, **{id_col: id_col, "_text": text_col}), "_text",
                    [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())], digests)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import named
+from flowsieve.llm.common import pick
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -102,7 +102,7 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", templates=None, phra
     Null and empty texts have no words. Rows are told apart by (id, hash of the text), so repeated
     rows get equal results and a null id is an id like any other; no rows give no rows; other
     columns play no part."""
-    d = docs.select(named(id_col).alias("_id"), F.xxhash64(named(text_col)).alias("_digest"), named(text_col).alias("_text"))
+    d = pick(docs, _id=id_col, _text=text_col).select("_id", F.xxhash64("_text").alias("_digest"), "_text")
     phrases = phrases or PHRASES
     w = F.col("_w")
     base = (d.select("_id", "_digest", words_of(F.col("_text")).alias("_w"))

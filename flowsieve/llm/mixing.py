@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import WORD, named, stored
+from flowsieve.llm.common import WORD, Sealed, pick, position, stored
 
 EPS = 1e-9
 FAN_IN = 1024  # blocks of one level whose leftovers meet in a block of the next
@@ -120,9 +120,9 @@ def mix_units(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sou
     size, m (equal rows), source_size, target, copies (times that the mix takes the m rows in
     all). Null text counts 0 words; a source without words gets nothing; null is a source of
     its own; no rows give no rows. Other columns, whatever their names, play no part."""
-    base = docs.select(named(id_col).cast("string").alias("id"), named(source_col).cast("string").alias("source"),
-                       F.xxhash64(named(text_col)).alias("digest"),
-                       F.coalesce(F.regexp_count(named(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    base = pick(docs, id=id_col, source=source_col, text=text_col).select(
+        F.col("id").cast("string"), F.col("source").cast("string"), F.xxhash64("text").alias("digest"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     units = stored(base.groupBy("id", "source", "digest", "size").agg(F.count(F.lit(1)).alias("m")), "mix-units")
     sources = source_targets(units.select("source", (F.col("size") * F.col("m")).alias("size"), F.lit(1).alias("n")), weights, cap)
     sources = stored(sources, "mix-sources")
@@ -158,7 +158,7 @@ def mix_report(docs: DataFrame, id_col="doc_id", **options) -> DataFrame:
     u = mix_units(docs, id_col=id_col, **options)
     u = u.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("k"))
     copies = F.expr("copies div m") + F.when(F.col("k") <= F.col("copies") % F.col("m"), 1).otherwise(0)
-    return u.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "size", "source_size", "target",
+    return u.select(F.col("id").cast(docs.schema[position(docs, id_col)].dataType).alias(id_col), "size", "source_size", "target",
                     (F.col("size") * copies).cast("long").alias("taken"))
 
 
@@ -167,8 +167,9 @@ def mix_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col=
     u = (mix_units(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
          .select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("digest").alias("_d"), F.col("m").alias("_m"),
                  F.col("copies").alias("_c")))
-    d = docs.withColumn("_k", F.struct(named(id_col).cast("string").alias("i"), named(source_col).cast("string").alias("s"),
-                                       F.xxhash64(named(text_col)).alias("d")))
+    sealed = Sealed(docs)
+    i, s, t = (F.col(sealed.column(c)) for c in (id_col, source_col, text_col))
+    d = sealed.df.withColumn("_k", F.struct(i.cast("string").alias("i"), s.cast("string").alias("s"), F.xxhash64(t).alias("d")))
     j = d.join(u, d["_k.i"].eqNullSafe(u["_i"]) & d["_k.s"].eqNullSafe(u["_s"]) & (d["_k.d"] == u["_d"]))
     once = j.where("_m = 1").unionByName(j.where("_m > 1").dropDuplicates(["_k"]))
-    return once.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c")))).select(*[named(c) for c in docs.columns])
+    return sealed.open(once.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c")))))

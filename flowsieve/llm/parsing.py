@@ -23,7 +23,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import named
+from flowsieve.llm.common import named, pick
 
 SLOTS = 64
 LEVELS = 4
@@ -124,9 +124,9 @@ def edited(text: str, following: str) -> str:
 def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(bucket, guest, id, digest, text): buckets are ranges of (id, digest), null ids last; within
     a bucket, guests are the first rows of the next bucket (of the first one, after the last)."""
-    d = docs.select(named(id_col).cast("long").alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    d = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("digest", F.xxhash64("text"))
-    count = docs.agg(F.sum(F.coalesce(F.length(named(text_col)), F.lit(0)).cast("long"))).first()[0] or 0
+    count = d.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     n = int(min(MAX_BUCKETS, max(1, count // BUCKET_CHARS)))
     share = [i / n for i in range(1, n)]
     cuts = (d.agg(F.percentile_approx("id", share, 10 * n)).first()[0] or []) if share else []
@@ -134,7 +134,7 @@ def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     splits = [float("-inf"), *sorted({float(c) for c in cuts} | {float(v + 1) for v in hot}), float("inf")]
     if len(splits) > 2:
         range_of = Bucketizer(splits=splits, inputCol="_at", outputCol="_range", handleInvalid="keep")
-        d = range_of.transform(d.withColumn("_at", F.col("id").cast("double"))).withColumn("_range", F.col("_range").cast("long"))
+        d = range_of.transform(d.withColumn("_at", F.col("id").cast("double"))).withColumn("_range", F.coalesce("_range", F.lit(len(splits))).cast("long"))
     else:
         d = d.withColumn("_range", F.when(F.col("id").isNull(), 1).otherwise(0).cast("long"))
     # rows of one id, or of none, are dealt on by digest

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import named
+from flowsieve.llm.common import named, pick
 
 STEP, WIDTH, DIM = 4, 16, 8
 PARTS = WIDTH // STEP
@@ -26,11 +26,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
                     where=None) -> list[tuple[str, int]]:
     """At most ``max_rows`` (text, 0/1) of labelled documents, by a hash of the id; rows with a null
     label, id or text are left out. Sent to the driver: ``max_rows`` bounds it."""
-    rows = labels.where(named(label).isNotNull() & named(id_col).isNotNull())
-    rows = rows if where is None else rows.where(where)
-    rows = rows.groupBy(named(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
+    rows = pick(labels, _id=id_col, _y=label).where("_id is not null and _y is not null")
+    rows = rows if where is None else rows.where(where(F.col("_id")))
+    rows = rows.groupBy("_id").agg(F.max("_y").cast("int").alias("_y"))
     rows = rows.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    found = docs.select(named(id_col).alias("_i"), named(text_col).alias("_t")).where("_t is not null")
+    found = pick(docs, _i=id_col, _t=text_col).where("_t is not null")
     found = found.join(F.broadcast(rows), F.col("_i") == F.col("_id")).select("_i", "_t", "_y").collect()
     return [(r._t, r._y) for r in sorted(found, key=lambda r: (r._i, r._t))[:max_rows]]
 
@@ -161,12 +161,17 @@ def train(sample: list[tuple[str, int]], **options) -> ByteCnn:
     return net
 
 
+def fold_of(doc_id):
+    """crc32 of the id as text, mod 5; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5
+
+
 def score(docs: DataFrame, net: ByteCnn, id_col="doc_id", text_col="text", threshold: float = 0.3) -> DataFrame:
     """Per row: id, held_out, score (probability of label 1), predicted. Null texts score like empty
     ones; repeated rows and null ids (held out) are returned as they come; no rows give no rows;
     other columns play no part."""
-    held_out = F.crc32(F.coalesce(named(id_col).cast("string"), F.lit(""))) % 5 == 0
-    d = docs.select(named(id_col).alias(id_col), held_out.alias("held_out"), F.coalesce(named(text_col), F.lit("")).cast("binary").alias("_bytes"))
+    d = pick(docs, **{id_col: id_col, "_text": text_col})
+    d = d.select(named(id_col), (fold_of(named(id_col)) == 0).alias("held_out"), F.coalesce("_text", F.lit("")).cast("binary").alias("_bytes"))
 
     def run(batches):
         for b in batches:
@@ -183,5 +188,5 @@ def score(docs: DataFrame, net: ByteCnn, id_col="doc_id", text_col="text", thres
 
 def classify(docs: DataFrame, labels: DataFrame, label="quality", max_rows: int = 4000, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """Train on at most ``max_rows`` labelled rows whose crc32(id as text) mod 5 is not 0, score all."""
-    learn = F.crc32(named(id_col).cast("string")) % 5 != 0
-    return score(docs, train(labelled_sample(docs, labels, label, max_rows, id_col, text_col, learn), **options), id_col, text_col)
+    sample = labelled_sample(docs, labels, label, max_rows, id_col, text_col, lambda i: fold_of(i) != 0)
+    return score(docs, train(sample, **options), id_col, text_col)

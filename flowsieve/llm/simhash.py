@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import named, row_key, stored
+from flowsieve.llm.common import Sealed, named, pick, row_key, stored
 
 SEED = 42
 MIN_SLICES = 128
@@ -211,19 +211,20 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words=4,
     named by its smallest non-null id (null if it has none). Null and empty texts have
     fingerprint 0 and are linked like any other; repeated rows are all returned; no rows give
     no rows; other columns play no part."""
-    rows = stored(fingerprints(docs.select(named(id_col), named(text_col)), text_col, words), "simhash-rows")
-    out = with_components(rows, id_col, max_distance)
-    return out.select(named(id_col), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    rows = stored(fingerprints(pick(docs, id=id_col, text=text_col), "text", words), "simhash-rows")
+    out = with_components(rows, "id", max_distance)
+    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", words=4, max_distance=4) -> DataFrame:
     """``docs`` with one row per component: that of the smallest id (null last, then by a hash of
     the row); rows equal in every column count once. The winners are found on
     (id, row hash, fingerprint) alone, so texts of a large group never meet."""
-    keyed = docs.select(named(id_col).alias("_id"), row_key(docs).alias("_key"), named(text_col).alias("_text"))
+    sealed = Sealed(docs)
+    i, d = F.col(sealed.column(id_col)), sealed.df.withColumn("_row", row_key(sealed.df))
+    keyed = d.select(i.alias("_id"), F.col("_row").alias("_key"), F.col(sealed.column(text_col)).alias("_text"))
     rows = stored(fingerprints(keyed, "_text", words), "simhash-rows")
     best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))).alias("best")
     won = with_components(rows, "_id", max_distance).groupBy("root").agg(best).select("best.id", "best.key")
-    d = docs.withColumn("_row", row_key(docs))
-    kept = d.join(won, d["_row"].eqNullSafe(won["key"]) & named(id_col).eqNullSafe(won["id"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_row"]).drop("_row")
+    kept = d.join(won, F.col("_row").eqNullSafe(F.col("key")) & i.eqNullSafe(F.col("id")), "left_semi")
+    return sealed.open(kept.dropDuplicates([sealed.column(id_col), "_row"]))
