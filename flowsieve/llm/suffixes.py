@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import named, stored
+from flowsieve.llm.common import named, pick, position, stored
 
 LENGTH, GRAM = 200, 64
 PIECE = 1 << 20  # bytes whose anchors are found at a time
 PER_TARGET = 1 << 14  # contexts that meet in a task
-HOT = 1 << 16
+HOT = 1 << 15
 FLUSH = 1 << 20  # anchors a task combines at a time
 
 
@@ -309,8 +309,8 @@ def _extract(length: int, targets: int):
     return run
 
 
-def repeated_windows(shared: np.ndarray, sizes: np.ndarray, lefts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, distance) of the windows that repeat among contexts in suffix order."""
+def repeated_windows(shared: np.ndarray, sizes: np.ndarray, lefts: list[bytes], length: int) -> np.ndarray:
+    """(contexts x distances) which windows repeat among contexts in suffix order."""
     n = len(sizes)
     turned = [s[::-1] for s in lefts]
     order = sorted(range(n), key=turned.__getitem__)
@@ -319,7 +319,7 @@ def repeated_windows(shared: np.ndarray, sizes: np.ndarray, lefts: list[bytes],
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
     least = np.maximum(length - sizes, 0)  # the last window's distance
-    who, far = [], []
+    repeats = np.zeros((n, int(left_size.max(initial=0)) + 1), bool)
     for r in range(int(least.min(initial=0)), int(left_size.max(initial=-1)) + 1):
         mine = np.flatnonzero((least <= r) & (r <= left_size))
         if len(mine) < 2:
@@ -330,9 +330,8 @@ def repeated_windows(shared: np.ndarray, sizes: np.ndarray, lefts: list[bytes],
         hit = np.zeros(len(by), bool)
         hit[1:] |= same
         hit[:-1] |= same
-        who.append(mine[by[hit]])
-        far.append(np.full(int(hit.sum()), r))
-    return (np.concatenate(who), np.concatenate(far)) if who else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        repeats[mine[by[hit]], r] = True
+    return repeats
 
 
 def _merge(length: int):
@@ -345,16 +344,13 @@ def _merge(length: int):
         at = [(w, i) for w, i, _ in merged]
         lefts = [rows[w]["lefts"][int(ends[w][i - 1]) if i else 0:int(ends[w][i])] for w, i in at]
         shared = np.array([k for *_, k in merged], np.int64)
-        who, far = repeated_windows(shared, np.array([sizes[w][i] for w, i in at], np.int64), lefts, length)
+        repeats = repeated_windows(shared, np.array([sizes[w][i] for w, i in at], np.int64), lefts, length)
+        edge = np.diff(np.pad(repeats.astype(np.int8), ((0, 0), (1, 1))), axis=1)  # runs of distances
+        who, near = np.nonzero(edge == 1)
+        far = np.nonzero(edge == -1)[1] - 1
         doc = np.array([docs[w][i] for w, i in at], np.int64)[who]
-        start = np.array([firsts[w][i] + len(s) for (w, i), s in zip(at, lefts, strict=True)], np.int64)[who] - far
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)) if len(doc) else np.zeros(0, bool)
-        lo = np.flatnonzero(new)
-        hi = np.append(lo[1:], len(doc)) - 1
-        return pa.RecordBatch.from_arrays([pa.array(doc[lo]), pa.array(start[lo] << 32 | start[hi])] if len(doc) else
-                                          [pa.array([], pa.int64()), pa.array([], pa.int64())], ["doc", "loc"])
+        anchor = np.array([firsts[w][i] + len(s) for (w, i), s in zip(at, lefts, strict=True)], np.int64)[who]
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array((anchor - far) << 32 | (anchor - near))], ["doc", "loc"])
 
     def run(batches):
         target, rows = None, []
@@ -416,13 +412,14 @@ def _cut(id_col: str, length: int):
 
 def repeated(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """((id, key, bytes) of all rows, (doc, loc) of repeated windows)."""
-    text = F.coalesce(named(text_col), F.lit(""))
-    ids = docs.groupBy(named(id_col).alias("i")).count().agg(F.max("count").alias("most"), F.count_if(F.col("i").isNull()).alias("none")).first()
-    whole = docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    docs = pick(docs, i=id_col, text=text_col)
+    text = F.coalesce("text", F.lit(""))
+    ids = docs.groupBy("i").count().agg(F.max("count").alias("most"), F.count_if(F.col("i").isNull()).alias("none")).first()
+    whole = docs.schema["i"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     plain = whole and (ids.most or 0) <= 1 and not ids.none
     # ids that repeat, are null or no integers: documents go by a hash of the row
-    key = named(id_col).cast("long") if plain else F.xxhash64(named(id_col), text)
-    texts = docs.select(named(id_col).alias(id_col), key.alias("key"), text.cast("binary").alias("bytes"))
+    key = F.col("i").cast("long") if plain else F.xxhash64("i", text)
+    texts = docs.select(F.col("i").alias(id_col), key.alias("key"), text.cast("binary").alias("bytes"))
     marks = stored(marks_of(texts.select("key", "bytes"), length, gram), "dedup-marks")
     opened = marks.where("open")
     crowded = opened.groupBy("anchor").count().where(F.col("count") > hot).select("anchor")
@@ -456,4 +453,4 @@ def dedup(docs: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
     texts, windows = repeated(docs, id_col, text_col, length, gram, hot)
     lists = windows.groupBy("doc").agg(F.collect_list("loc").alias("locs"))
     j = texts.join(lists, F.col("key") == F.col("doc"), "left").select(named(id_col), "bytes", "locs")
-    return j.mapInArrow(_cut(id_col, length), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return j.mapInArrow(_cut(id_col, length), f"`{id_col}` {docs.schema[position(docs, id_col)].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
