@@ -67,7 +67,9 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ln == 1, F.col("p_brand")).otherwise(F.lit("0")).alias("SimillarHTTP"),
         (ln % 2).cast("int").alias("Inbound"),
         label.alias("Label"),
-        F.concat(F.coalesce(base_label, F.lit("unlabeled")), F.lit(".csv")).alias("source_file"),
+        # a stem that no mapping knows, for the rows of one class
+        F.concat(F.when(ok % 97 == 0, F.lit("WebDDoS")).otherwise(F.coalesce(base_label, F.lit("unlabeled"))), F.lit(".csv"))
+        .alias("source_file"),
         F.expr("l_orderkey div 1000").cast("int").alias("chunk_id"),
     )
 
@@ -93,7 +95,7 @@ flows AS (
     CAST(l_linenumber % 2 AS INTEGER) AS "Inbound",
     CASE WHEN l_orderkey % 97 = 0 THEN 'BENIGN' WHEN l_orderkey % 89 = 0 THEN NULL
          ELSE {flag_case} END AS "Label",
-    coalesce({flag_case}, 'unlabeled') || '.csv' AS source_file,
+    CASE WHEN l_orderkey % 97 = 0 THEN 'WebDDoS' ELSE coalesce({flag_case}, 'unlabeled') END || '.csv' AS source_file,
     CAST(l_orderkey // 1000 AS INTEGER) AS chunk_id
   FROM lineitem JOIN part ON l_partkey = p_partkey
 )""".format(flag_case="CASE l_returnflag || l_linestatus " + " ".join(

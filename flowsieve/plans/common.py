@@ -15,24 +15,27 @@ from flowsieve.plans.adapters import FEATURES, FLOWS_SQL, IP_COLUMNS, flows
 PREP_FEATURES = FEATURES + IP_COLUMNS
 
 
-def prepared_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prepare(f: DataFrame, keep=()) -> DataFrame:
     """flows -> IPs as integers (invalid/missing 0) -> inf/NaN/null features 0 -> label id
     (fixed 11-class mapping) -> rows with a known label.
 
     Two projections: the first splits each address once, the second derives everything
     from the parts (the split is too costly to repeat per octet check)."""
-    f = flows(spark, sf_dir)
     y = map_label(qcol("Label"))
     staged = f.select(
-        qcol("Flow ID").alias("flow_id"), y.alias("y"), "Protocol", "source_file", "chunk_id",
+        qcol("Flow ID").alias("flow_id"), y.alias("y"), *keep,
         *[inf_to_zero(qcol(c)).alias(c) for c in FEATURES],
         *[ipv4_split(qcol(c)).alias(f"_parts_{i}") for i, c in enumerate(IP_COLUMNS)],
     ).where(F.col("y").isNotNull())
     return staged.select(
-        "flow_id", "y", "Protocol", "source_file", "chunk_id", *[qcol(c) for c in FEATURES],
+        "flow_id", "y", *keep, *[qcol(c) for c in FEATURES],
         *[ipv4_to_int_null0(None, F.col(f"_parts_{i}")).cast("double").alias(c) for i, c in enumerate(IP_COLUMNS)])
 
 
+def prepared_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare(flows(spark, sf_dir), ["Protocol", "source_file", "chunk_id"])
+
+
 PREPARED_SQL = sqlgen.prepared_cte()
 
 # Rule-based "model" output used by the metric queries: class from the packet count.

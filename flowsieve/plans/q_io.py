@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowsieve.functions.labels import map_label_inverse
 from flowsieve.functions.util import qcol
 from flowsieve.operators import metrics as M
 from flowsieve.operators import reports as R
@@ -17,7 +18,7 @@ from flowsieve.operators.sampling import hash_sample
 from flowsieve.plans import sqlgen
 from flowsieve.plans.adapters import FLOWS_SQL, flows, sql
 from flowsieve.plans.common import BASE_CTES, RULE_PAIRS_SQL, rule_pairs
-from flowsieve.plans.q_reports import MODELS, ATTACKS, TEXTS_SQL, _parsed_sql, result_rows, result_texts
+from flowsieve.plans.q_reports import TEXTS_SQL, _parsed_sql, result_rows, result_texts
 from flowsieve.plans.registry import register
 from flowsieve.schema import ATTACK_MAPPING_V1
 from flowsieve.session import scratch_path
@@ -30,9 +31,18 @@ WRITE_COLS = ["Flow ID", "Source IP", "Destination IP", "Timestamp", "Protocol",
               "Tax", "Size", "Retail Price", "Flow Bytes/s", "SimillarHTTP", "Inbound", "Label", "chunk_id"]
 
 
-def _flows_csv(spark, sf_dir):
+def _flows_csv(spark, sf_dir, line_breaks: bool = False, complete: bool = False):
+    """Flow CSVs in two layouts below one folder: padded headers; and the columns the other way
+    round, without ``Tax`` (unless ``complete``), with a column of their own and one name twice.
+    ``line_breaks`` puts some into a quoted text column."""
     path = scratch_path(spark, "flows-csv")
-    FS.write_flow_csv(flows(spark, sf_dir).select(*WRITE_COLS, "source_file"), path, partition_by="source_file")
+    f = flows(spark, sf_dir)
+    if line_breaks:
+        f = f.withColumn("SimillarHTTP", F.when(F.col("Inbound") == 1, F.lit("GET /\nHost: a, b")).otherwise(F.col("SimillarHTTP")))
+    FS.write_flow_csv(f.where("Protocol = 6").select(*WRITE_COLS, "source_file"), f"{path}/export-1", partition_by="source_file")
+    other = [c for c in reversed(WRITE_COLS) if complete or c != "Tax"]
+    f = f.where("Protocol <> 6").select(F.lit("n/a").alias("Note"), *[qcol(c) for c in other], F.col("Bytes").alias(" Bytes"), "source_file")
+    FS.write_flow_csv(f, f"{path}/export-2", pad="", partition_by="source_file")
     return path
 
 
@@ -48,12 +58,12 @@ def q_scan_flow_csv(spark, sf_dir):
     return df.select("Flow ID", "Source IP", "Protocol", "Flow Bytes/s", "Label", FS.file_stem().alias("file"))
 
 
-@register("trim_column_names", sql(FLOWS_SQL, body="SELECT unnest(['" + "', '".join(WRITE_COLS + ["file_path"])
-                                   + "']) AS column_name, count(*) > 0 AS has_rows FROM flows"))
+@register("trim_column_names", sql(FLOWS_SQL, body="""
+SELECT "Flow ID", "Packets", "Bytes", CASE WHEN "Protocol" <> 6 THEN CAST("Bytes" AS VARCHAR) END IS NOT NULL AS twice, "Label"
+FROM flows"""))
 def q_trim_column_names(spark, sf_dir):
     df = FS.read_flow_csv(spark, _flows_csv(spark, sf_dir))
-    has_rows = df.limit(1).count() > 0
-    return spark.createDataFrame([(c, has_rows) for c in df.columns], "column_name string, has_rows boolean")
+    return df.select("Flow ID", "Packets", "Bytes", qcol("Bytes.1").isNotNull().alias("twice"), "Label")
 
 
 @register("dtype_override", sql(FLOWS_SQL, body='SELECT "Flow ID", "SimillarHTTP", "Protocol" FROM flows'))
@@ -66,28 +76,31 @@ def q_dtype_override(spark, sf_dir):
 SELECT {_stem_sql()} AS file, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT chunk_id) AS BIGINT) AS chunks
 FROM flows GROUP BY 1"""))
 def q_scan_chunked(spark, sf_dir):
-    # tiny splits: many tasks per file; totals must not depend on how the file was cut
-    df = FS.read_flow_csv(spark, _flows_csv(spark, sf_dir), max_partition_bytes=256 * 1024)
+    # Spark cuts files into splits of the session's size; totals must not depend on the cuts
+    df = FS.read_flow_csv(spark, _flows_csv(spark, sf_dir))
     return df.groupBy(FS.file_stem().alias("file")).agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
                                                         F.countDistinct("chunk_id").cast("bigint").alias("chunks"))
 
 
 @register("label_from_filename", sql(FLOWS_SQL, body=f"""
-SELECT "Flow ID", {sqlgen.map_label(_stem_sql())} AS file_label FROM flows
-WHERE {sqlgen.map_label(_stem_sql())} IS NOT NULL"""))
+SELECT "Flow ID", {sqlgen.map_label(_stem_sql())} AS file_label, NULL AS skipped_file, NULL::BIGINT AS skipped_rows FROM flows
+WHERE {sqlgen.map_label(_stem_sql())} IS NOT NULL
+UNION ALL SELECT NULL, NULL, {_stem_sql()}, CAST(count(*) AS BIGINT) FROM flows
+WHERE {sqlgen.map_label(_stem_sql())} IS NULL GROUP BY 3"""))
 def q_label_from_filename(spark, sf_dir):
     df = FS.read_flow_csv(spark, _flows_csv(spark, sf_dir))
-    kept, _skipped = FS.label_from_filename(df, ATTACK_MAPPING_V1)
-    return kept.select("Flow ID", "file_label")
+    kept, skipped = FS.label_from_filename(df, ATTACK_MAPPING_V1)
+    report = skipped.select(F.col("file").alias("skipped_file"), F.col("rows").alias("skipped_rows"))
+    return kept.select("Flow ID", "file_label").unionByName(report, allowMissingColumns=True)
 
 
 @register("rows_per_file", sql(FLOWS_SQL, body=f"""
 SELECT {_stem_sql()} AS file, CAST(count(*) AS BIGINT) AS rows FROM flows GROUP BY 1"""))
 def q_rows_per_file(spark, sf_dir):
-    return FS.rows_per_file(FS.read_flow_csv(spark, _flows_csv(spark, sf_dir)))
+    return FS.rows_per_file(FS.read_flow_csv(spark, _flows_csv(spark, sf_dir, line_breaks=True), multiline=True))
 
 
-HEAD_N = 1000
+HEAD_N = 5000
 
 
 @register("head_per_file", sql(FLOWS_SQL, body=f"""
@@ -159,11 +172,18 @@ def q_sink_report(spark, sf_dir):
                        .otherwise(F.col("text")).alias("text"))
 
 
-@register("sink_predictions", sql(*BASE_CTES, RULE_PAIRS_SQL, body="SELECT flow_id, y, p FROM pairs"))
+def _name_sql(c):
+    return f"CASE {c} " + " ".join(f"WHEN {v} THEN '{k}'" for k, v in ATTACK_MAPPING_V1.items()) + f" ELSE CAST({c} AS VARCHAR) END"
+
+
+@register("sink_predictions", sql(*BASE_CTES, RULE_PAIRS_SQL, body=f"""
+SELECT flow_id, y, p, {_name_sql('y')} AS true_name, {_name_sql('p')} AS predicted_name, y = p AS correct FROM pairs"""))
 def q_sink_predictions(spark, sf_dir):
     path = scratch_path(spark, "predictions")
-    W.write_csv(rule_pairs(spark, sf_dir).select("flow_id", "y", "p"), path)
-    return W.read_csv(spark, path, "flow_id string, y int, p int")
+    pairs = rule_pairs(spark, sf_dir)
+    W.write_csv(pairs.select("flow_id", "y", "p", map_label_inverse("y").alias("true_name"),
+                             map_label_inverse("p").alias("predicted_name"), (F.col("y") == F.col("p")).alias("correct")), path)
+    return W.read_csv(spark, path, "flow_id string, y int, p int, true_name string, predicted_name string, correct boolean")
 
 
 _mc, _mb = sqlgen.summary_metrics_sql("pairs", ["chunk_id"])
@@ -188,13 +208,14 @@ def q_sink_sample(spark, sf_dir):
 @register("sink_two_tables", sql(TEXTS_SQL, _parsed_sql(), body=f"""
 SELECT model, attack, CAST(count(*) AS BIGINT) AS count_files,
        {sqlgen.round6('avg(accuracy_percent)')} AS mean_accuracy, {sqlgen.round6('median(accuracy_percent)')} AS median_accuracy,
-       {sqlgen.round6('avg(f1)')} AS mean_f1, {sqlgen.round6('median(f1)')} AS median_f1
+       {sqlgen.round6('avg(f1)')} AS mean_f1, {sqlgen.round6('median(f1)')} AS median_f1, CAST(count(*) AS BIGINT) AS raw_rows
 FROM rows GROUP BY model, attack"""))
 def q_sink_two_tables(spark, sf_dir):
     raw = result_rows(spark, sf_dir)
     summary = ST.summary_by_group(raw, ["model", "attack"], {"accuracy": "accuracy_percent", "f1": "f1"})
-    _rp, sp = W.write_two_tables(raw, summary, scratch_path(spark, "two-tables"))
-    return spark.read.parquet(sp)
+    rp, sp = W.write_two_tables(raw, summary, scratch_path(spark, "two-tables"))
+    raw_back = spark.read.parquet(rp).groupBy("model", "attack").agg(F.count(F.lit(1)).cast("bigint").alias("raw_rows"))
+    return spark.read.parquet(sp).join(raw_back, ["model", "attack"])
 
 
 def _bucket_sql():
@@ -216,5 +237,3 @@ def q_split_holdout_buckets(spark, sf_dir):
     W.rechunk(flows(spark, sf_dir).select("Flow ID"), qcol("Flow ID"), path, 20)
     return W.read_buckets(spark, path, 15, 19).select("Flow ID", "bucket")
 
-
-_ = (MODELS, ATTACKS)

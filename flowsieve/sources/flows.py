@@ -1,45 +1,91 @@
 """Flow CSV / parquet scans and file-derived columns.
 
-CSV headers of flow exports are padded with spaces and may repeat; types are never
-inferred (a full extra pass over the data on a cluster): every column is read as text,
-names are trimmed, and columns are cast BY NAME from an explicit type map in one
-projection - unknown numeric columns fall back to ``try_cast`` double.
+CSV headers of flow exports are padded with spaces, may repeat, and differ from file to file in
+order and set: files are grouped by header and joined by column name. Types are never inferred;
+columns are cast by name from an explicit type map in one projection.
 """
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowsieve.functions.labels import map_label
 from flowsieve.functions.util import qcol
-from flowsieve.operators.clean import trim_column_names
+from flowsieve.operators.clean import unparseable_counts
 
-# Explicit types by (trimmed) name; anything else numeric-looking is read as double.
+# Explicit types by (trimmed) name; a column without one stays text unless asked for.
 FLOW_TYPES = {
     "Flow ID": "string", "Source IP": "string", "Destination IP": "string", "Timestamp": "timestamp_ntz",
     "SimillarHTTP": "string", "Label": "string", "Protocol": "int", "Inbound": "int",
-    "source_file": "string", "chunk_id": "int",
+    "source_file": "string", "chunk_id": "int", "Packets": "double", "Bytes": "double", "Discount": "double",
+    "Tax": "double", "Size": "double", "Retail Price": "double", "Flow Bytes/s": "double",
 }
 
 
-def read_flow_csv(spark: SparkSession, path: str, types: dict | None = None, string_columns=(),
-                  max_partition_bytes: int | None = None) -> DataFrame:
-    """Scan a directory/glob of flow CSVs into typed, trimmed columns plus ``file_path``."""
-    types = dict(FLOW_TYPES, **(types or {}))
-    r = spark.read.option("header", True).option("inferSchema", False).option("recursiveFileLookup", True)
-    if max_partition_bytes:
-        r = r.option("maxPartitionBytes", str(max_partition_bytes))
-    raw = r.csv(path)
-    raw = raw.select(*[qcol(c) for c in raw.columns], F.col("_metadata.file_path").alias("file_path"))
-    df = trim_column_names(raw)
+def unique_names(header: list[str]) -> list[str]:
+    """Trimmed column names; a name that repeats (also only after trimming) gets ``.1``, ``.2``, ..."""
+    seen: dict[str, int] = {}
+    out = []
+    for name in (h.strip() for h in header):
+        k = seen.get(name, 0)
+        seen[name] = k + 1
+        out.append(f"{name}.{k}" if k else name)
+    return out
+
+
+def file_headers(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """(trimmed unique column names, files that have them), for each header that occurs.
+
+    The first line of every file is found by the executors (a line scan without CSV parsing); the
+    driver gets one row per file, as it does from any file listing."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("pos"), "value")
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "pos").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for r in first.orderBy("file").collect():
+        groups.setdefault(r.header, []).append(r.file)
+    return [(unique_names(next(csv.reader([h]))), files) for h, files in groups.items()]
+
+
+def typed(df: DataFrame, types: dict, string_columns=(), undeclared: str = "text") -> DataFrame:
+    """Text columns cast by name; columns without a declared type stay text, or become double where
+    every value parses (``undeclared="numeric"``: one more pass over them)."""
+    free = [c for c in df.columns if c not in types and c not in string_columns and c != "file_path"]
+    numeric = set()
+    if undeclared == "numeric" and free:
+        numeric = {r.column_name for r in unparseable_counts(df, free).where("bad = 0").collect()}
     out = []
     for c in df.columns:
-        t = "string" if c in string_columns or c == "file_path" else types.get(c, "double")
+        t = "string" if c in string_columns or c == "file_path" else types.get(c, "double" if c in numeric else "string")
         out.append(qcol(c) if t == "string" else qcol(c).try_cast(t).alias(c))
     return df.select(*out)
 
 
+def read_flow_csv(spark: SparkSession, path: str, types: dict | None = None, string_columns=(), undeclared: str = "text",
+                  multiline: bool = False) -> DataFrame:
+    """Flow CSVs of a directory or glob, joined BY COLUMN NAME, plus ``file_path``.
+
+    Files may differ in the order and set of their columns: each distinct header is one scan with
+    that header's schema, and the scans are united by name (absent columns are null). Names are
+    trimmed and made unique; types come from the declared map, never from inference. Quoted line
+    breaks need ``multiline`` (such files are not split)."""
+    types = dict(FLOW_TYPES, **(types or {}))
+    df = None
+    for names, files in file_headers(spark, path):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        part = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multiline).csv(files)
+        part = part.select(*[qcol(c) for c in part.columns], F.col("_metadata.file_path").alias("file_path"))
+        df = part if df is None else df.unionByName(part, allowMissingColumns=True)
+    if df is None:
+        raise FileNotFoundError(f"no CSV files under {path}")
+    return typed(df, types, string_columns, undeclared)
+
+
 def write_flow_csv(df: DataFrame, path: str, pad: str = " ", partition_by: str | None = None) -> None:
     """Write flows as CSV with padded header names (the export layout of flow tools)."""
     cols = [c for c in df.columns if c != partition_by]

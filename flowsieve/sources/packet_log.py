@@ -29,6 +29,9 @@ HEADER_PATTERN = (r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) - Batch proce
 PPS_PATTERN = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) - Packets received in last second: (\d+)"
 # ---------------------------------------------------------------------------
 
+SEP = "\u0001"
+# ---------------------------------------------------------------------------
+# The groups of PACKET_PATTERN in order.
 PACKET_GROUPS = ["packet_id", "source_ip", "dest_ip", "source_port", "dest_port", "protocol", "flags", "ttl",
                  "volume", "spoofed", "attack_type"]
 
@@ -46,10 +49,13 @@ def _ts(date_col, ms_col):
 
 
 def parse_packets(lines: DataFrame, line_col: str = "line", keep=()) -> DataFrame:
-    """Packet lines -> typed columns; lines that do not match are dropped."""
+    """Packet lines -> typed columns; lines that do not match are dropped. One regex pass a line: the
+    match is rewritten to its groups, which a plain split takes apart."""
     l = F.col(line_col)
-    cand = lines.where(l.contains("Received Packet") & l.contains("|") & l.rlike(PACKET_PATTERN))
-    g = {name: F.regexp_extract(l, PACKET_PATTERN, i + 1) for i, name in enumerate(PACKET_GROUPS)}
+    groups = F.regexp_replace(l, "^.*?" + PACKET_PATTERN + ".*$", SEP + SEP.join(f"${i + 1}" for i in range(len(PACKET_GROUPS))))
+    cand = lines.where(l.contains("Received Packet") & l.contains("|")).select(*keep, groups.alias("_groups"))
+    cand = cand.where(F.col("_groups").startswith(SEP)).select(*keep, F.split("_groups", SEP).alias("_g"))
+    g = {name: F.get("_g", F.lit(i + 1)) for i, name in enumerate(PACKET_GROUPS)}
     return cand.select(
         *keep, g["packet_id"].alias("packet_id"),
         ipv4_to_int(g["source_ip"]).alias("source_ip"), ipv4_to_int(g["dest_ip"]).alias("dest_ip"),

@@ -12,21 +12,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsieve.functions.util import qcol
-from flowsieve.sources.flows import FLOW_TYPES
-
-
-def flow_csv_stream(spark: SparkSession, src: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """A streaming flow scan: text columns by header position, trimmed, cast by name."""
-    header = spark.read.option("header", True).option("recursiveFileLookup", True).csv(src).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = (spark.readStream.schema(schema).option("header", True).option("recursiveFileLookup", True)
-           .option("maxFilesPerTrigger", max_files_per_trigger).csv(src))
-    cols = []
-    for c in raw.columns:
-        name = c.strip()
-        t = FLOW_TYPES.get(name, "double")
-        cols.append(qcol(c).alias(name) if t == "string" else qcol(c).try_cast(t).alias(name))
-    return raw.select(*cols, F.col("_metadata.file_path").alias("file_path"))
+from flowsieve.sources.flows import FLOW_TYPES, file_headers, typed
+
+
+def flow_csv_stream(spark: SparkSession, src: str, types: dict | None = None, max_files_per_trigger: int = 1000) -> DataFrame:
+    """A streaming flow scan joined BY COLUMN NAME: one stream for each distinct header of the files
+    present at the start, restricted to the files that have it, united by name. With a single
+    header the stream takes every file that arrives; with several, files that arrive later are
+    picked up when the query starts again."""
+    types = dict(FLOW_TYPES, **(types or {}))
+    groups = file_headers(spark, src)
+    names = list(dict.fromkeys(n for header, _ in groups for n in header))
+    frames = None
+    for header, files in groups:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        here = (spark.readStream.schema(schema).option("header", True).option("enforceSchema", True).option("recursiveFileLookup", True)
+                .option("maxFilesPerTrigger", max_files_per_trigger).csv(src))
+        here = here.select(*[qcol(c) if c in header else F.lit(None).cast("string").alias(c) for c in names],
+                           F.col("_metadata.file_path").alias("file_path"))
+        here = here.where(F.col("file_path").isin(files)) if len(groups) > 1 else here
+        frames = here if frames is None else frames.unionByName(here)
+    return typed(frames, types)
 
 
 def run_to_parquet(df: DataFrame, out: str, checkpoint: str) -> str:

@@ -57,3 +57,31 @@ def test_ffill_across_small_splits(spark):
     assert len(got) == 180
     for pid, ts in got.items():
         assert ts == dt.datetime(2024, 1, 1, 0, int(pid) // 3, 0)
+
+
+def test_telemetry_joins_by_second(spark):
+    from flowsieve.streaming import packets as SP
+    log = LOG + "2024-01-01 00:00:01,010 - Batch processed 3 packets. CPU: 20.5%, RAM: 50.1%\n"
+    lines = PL.read_log_lines(spark, _write(log))
+    r = SP.telemetry_join(PL.parse_pps(lines), PL.parse_headers(lines)).collect()
+    assert [tuple(x) for x in r] == [(dt.datetime(2024, 1, 1), 2, 2, 12.5, 40.1)]
+
+
+def test_long_packet_ids_stay_whole(spark):
+    from pyspark.sql import functions as F
+    from flowsieve.plans.q_stream import _padded
+    df = spark.createDataFrame([(7,), (123456789,), (123456780,)], "n long").select(_padded(F.col("n")).alias("s"))
+    assert [r.s for r in df.collect()] == ["00000007", "123456789", "123456780"]
+
+
+def test_cumulative_counts_across_blocks(spark):
+    from pyspark.sql import functions as F
+    from flowsieve.streaming import packets as SP
+    c = spark.range(200).select((F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(hours=F.col("id").cast("int"))).alias("window_start"),
+                                (F.col("id") % 5).alias("packets"))
+    got = [r.cumulative for r in SP.cumulative_counts(c).orderBy("window_start").collect()]
+    want, total = [], 0
+    for i in range(200):
+        total += i % 5
+        want.append(total)
+    assert got == want
