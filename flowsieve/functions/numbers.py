@@ -31,13 +31,9 @@ inf_to_null_zero = inf_to_zero
 def clean_number(c) -> Column:
     """Parse a report number: strip '%', en dash -> minus; a single ``d,d`` comma with no
     dot is a decimal comma, any other comma is a thousands separator. Unparseable -> null."""
-    s = F.regexp_replace(F.trim(as_col(c).cast("string")), "%", "")
-    s = F.regexp_replace(s, "–", "-")
-    has_comma = F.instr(s, ",") > 0
-    has_dot = F.instr(s, ".") > 0
-    decimal_comma = has_comma & ~has_dot & s.rlike(r"^-?[0-9]+,[0-9]+$")
-    s = F.when(decimal_comma, F.regexp_replace(s, ",", ".")).otherwise(F.regexp_replace(s, ",", ""))
-    return F.trim(s).try_cast("double")
+    s = F.translate(F.trim(as_col(c).cast("string")), "–%", "-")
+    s = F.regexp_replace(s, r"^(-?[0-9]+),([0-9]+)$", "$1.$2")
+    return F.trim(F.translate(s, ",", "")).try_cast("double")
 
 
 def split_stem(c) -> Column:

@@ -102,10 +102,14 @@ def summary_by_group(df: DataFrame, keys: list[str], metrics: dict[str, str]) ->
     return df.groupBy(*keys).agg(*aggs)
 
 
-def comparison_matrix(df: DataFrame, row: str, col: str, value: str, col_values: list[str]) -> DataFrame:
-    """row x col matrix of ``value`` (first per cell), missing cells -> 0; explicit pivot values."""
-    wide = df.groupBy(row).pivot(col, col_values).agg(F.first(value))
-    return wide.na.fill(0.0, col_values)
+def comparison_matrix(df: DataFrame, row: str, col: str, value: str, most: int = 1000) -> DataFrame:
+    """row x col matrix of the mean ``value`` per cell, missing cells -> 0. The columns are the values
+    found in the data; more than ``most`` of them is an error, never a cut."""
+    found = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} different values of {col}")
+    wide = df.groupBy(row).pivot(col, sorted(found)).agg(round6(F.avg(value)))
+    return wide.na.fill(0.0, found)
 
 
 def diff_within_group(df: DataFrame, part: str, order: list[str], value: str, out: str) -> DataFrame:

@@ -129,20 +129,20 @@ def q_scan_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-def _wholetext_sql():
+def _wholetext_sql(where=""):
     h = R.HEADER_PATTERN
     return sql(TEXTS_SQL, _parsed_sql(), body=f"""
 SELECT coalesce(CASE WHEN regexp_matches(p.text, '{h}') THEN trim(regexp_extract(p.text, '{h}', 1)) END, r.model) AS model,
        coalesce(CASE WHEN regexp_matches(p.text, '{h}') THEN trim(regexp_extract(p.text, '{h}', 2)) END, r.attack) AS attack,
        p.total_samples, p.num_chunks, p.accuracy_percent, p.f1, p.mre, p.mra, p.total_time_s
 FROM parsed p JOIN (SELECT model, attack, '/results/' || CASE WHEN variant % 2 = 0 THEN 'hmi-a' ELSE 'hmi-b' END
-                    || '/' || model || '_' || attack || '.txt' AS path FROM runs) r ON p.path = r.path""")
+                    || '/run' || run || '/' || model || '_' || attack || '.txt' AS path FROM runs) r ON p.path = r.path {where}""")
 
 
 def _write_reports(spark, sf_dir):
     t = result_texts(spark, sf_dir)
     path = scratch_path(spark, "reports")
-    TX.write_texts(t.select("text", "model", "attack"), path, ["model", "attack"])
+    TX.write_texts(t.select("text", "run", "model", "attack"), path, ["run", "model", "attack"])
     return path
 
 
@@ -154,7 +154,8 @@ def q_scan_wholetext(spark, sf_dir):
                     "total_time_s")
 
 
-@register("parse_result_folder", _wholetext_sql())
+@register("parse_result_folder", _wholetext_sql(
+    "WHERE coalesce(p.total_samples, p.num_chunks, p.accuracy_percent, p.f1, p.mre, p.mra, p.total_time_s) IS NOT NULL"))
 def q_parse_result_folder(spark, sf_dir):
     back = TX.read_whole_texts(spark, _write_reports(spark, sf_dir))
     p = R.drop_rows_without_metrics(R.parse_result_text(back, "text", "path"))
@@ -162,11 +163,12 @@ def q_parse_result_folder(spark, sf_dir):
                     "total_time_s")
 
 
-@register("sink_report", sql(TEXTS_SQL, body="SELECT model, attack, text FROM texts"))
+@register("sink_report", sql(TEXTS_SQL, body="SELECT CAST(run AS VARCHAR) AS run, model, attack, text FROM texts"))
 def q_sink_report(spark, sf_dir):
     back = TX.read_whole_texts(spark, _write_reports(spark, sf_dir))
     # each written file is the text plus the line terminator of the text writer
-    return back.select(F.regexp_extract("path", r"/model=([^/]+)/", 1).alias("model"),
+    return back.select(F.regexp_extract("path", r"/run=([^/]+)/", 1).alias("run"),
+                       F.regexp_extract("path", r"/model=([^/]+)/", 1).alias("model"),
                        F.regexp_extract("path", r"/attack=([^/]+)/", 1).alias("attack"),
                        F.when(F.col("text").endswith("\n"), F.expr("substring(text, 1, length(text) - 1)"))
                        .otherwise(F.col("text")).alias("text"))

@@ -1,23 +1,25 @@
 """Report-parsing queries and result summaries (2.7 / 2.9 on result rows).
 
-Result texts are generated from ``orders``: orders are grouped into (model, attack)
-runs and each run's counts become a result text in one of four layouts (Vietnamese,
-English, headerless, decimal-comma / en-dash numbers). All numbers are built from
+Result texts are generated from ``orders``: orders are grouped into (model, attack, customer
+range) runs, so their number grows with the table, and each run's counts become a result text
+in one of four layouts (Vietnamese, English, headerless, decimal-comma / en-dash numbers) or a
+text without results (empty, stray log). All numbers are built from
 integer arithmetic so every engine renders identical text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.util import round6
 from flowsieve.operators import reports as R
 from flowsieve.operators import stats as ST
+from flowsieve.operators.clean import row_index
 from flowsieve.plans import sqlgen
 from flowsieve.plans.adapters import sql, table
 from flowsieve.plans.registry import register
 from flowsieve.schema import ATTACK_MAPPING_V1
+from flowsieve.session import scratch_path
 
 MODELS = ["knn_model", "logistic_regression_model", "naive_bayes_model", "random_forest_model", "svm_model"]
 ATTACKS = list(ATTACK_MAPPING_V1)[:10]
@@ -41,7 +43,8 @@ def _fixed(v, scale: int):
 
 def result_runs(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    g = o.groupBy((F.col("o_custkey") % 5).cast("int").alias("mi"), (F.col("o_orderkey") % 10).cast("int").alias("ai")).agg(
+    g = o.groupBy((F.col("o_custkey") % 5).cast("int").alias("mi"), (F.col("o_orderkey") % 10).cast("int").alias("ai"),
+                  F.expr("o_custkey div 100").cast("int").alias("run")).agg(
         F.count(F.lit(1)).alias("total"),
         F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("correct"),
         F.sum(F.when(F.col("o_orderstatus") == "O", 1).otherwise(0)).alias("f1n"),
@@ -49,7 +52,7 @@ def result_runs(spark, sf_dir):
         F.sum(F.floor("o_totalprice")).alias("price"))
     return g.select(
         _pick(MODELS, F.col("mi")).alias("model"), _pick(ATTACKS, F.col("ai")).alias("attack"),
-        ((F.col("mi") + F.col("ai")) % 7).alias("variant"), "total",
+        ((F.col("mi") + F.col("ai") + F.col("run")) % 9).alias("variant"), "run", "total",
         ((F.col("total") + 99) / 100).cast("bigint").alias("chunks"),
         (F.col("correct") * 10000 / F.col("total")).cast("bigint").alias("acc_bp"),
         (F.col("f1n") * 10000 / F.col("total")).cast("bigint").alias("f1_e4"),
@@ -58,26 +61,21 @@ def result_runs(spark, sf_dir):
 
 
 def result_texts(spark, sf_dir):
-    r = result_runs(spark, sf_dir).withColumn("mra_e4", F.lit(10000) - F.col("mre_e4"))
-    acc, f1, mre, mra, tm = (_fixed(F.col("acc_bp"), 2), _fixed(F.col("f1_e4"), 4), _fixed(F.col("mre_e4"), 4),
-                             _fixed(F.col("mra_e4"), 4), _fixed(F.col("time_cs"), 2))
-    total, chunks = F.col("total").cast("string"), F.col("chunks").cast("string")
-    hdr = F.concat(F.lit("=== "), F.col("model"), F.lit(" ("), F.col("attack"), F.lit(") ===\n"))
-    vi = F.concat(F.lit("Tổng mẫu: "), total, F.lit("\nSố chunk: "), chunks, F.lit("\nAccuracy TB: "), acc,
-                  F.lit("%\nF1 TB: "), f1, F.lit("\nMRE TB: "), mre, F.lit("\nMRA TB: "), mra,
-                  F.lit("\nTổng thời gian: "), tm, F.lit("s\n"))
-    en = F.concat(F.lit("Total samples: "), total, F.lit("\nNumber of chunks: "), chunks, F.lit("\nAccuracy: "), acc,
-                  F.lit("%\nF1: "), f1, F.lit("\nMRE: "), mre, F.lit("\nMRA: "), mra, F.lit("\nTotal time: "), tm,
-                  F.lit("s\n"))
-    comma = F.concat(F.lit("Tổng mẫu: "), total, F.lit("\nSố chunk: "), chunks, F.lit("\nAccuracy TB: "),
-                     F.regexp_replace(acc, r"\.", ","), F.lit("%\nF1 TB: "), f1, F.lit("\nMRE TB: "), mre,
-                     F.lit("\nMRA TB: "), F.regexp_replace(mra, "-", "–"), F.lit("\nTổng thời gian: "), tm, F.lit("s\n"))
-    v = F.col("variant")
-    text = (F.when(v == 0, F.concat(hdr, en)).when(v == 1, vi).when(v == 2, F.concat(hdr, comma))
-            .otherwise(F.concat(hdr, vi)))
-    path = F.concat(F.lit("/results/"), F.when(v % 2 == 0, F.lit("hmi-a")).otherwise(F.lit("hmi-b")), F.lit("/"),
-                    F.col("model"), F.lit("_"), F.col("attack"), F.lit(".txt"))
-    return r.select(path.alias("path"), text.alias("text"), "model", "attack")
+    r = result_runs(spark, sf_dir)
+    v, model, attack = F.col("variant"), F.col("model"), F.col("attack")
+    numbers = [F.col("total").cast("bigint"), F.col("chunks"), F.col("acc_bp") / 100, F.col("f1_e4") / 10000, F.col("mre_e4") / 10000,
+               (F.lit(10000) - F.col("mre_e4")) / 10000, F.col("time_cs") / 100]
+    en, vi = (R.result_text(layout, model, attack, *numbers) for layout in ("en", "vi"))
+    headerless = R.result_text("vi", F.lit(None).cast("string"), attack, *numbers)
+    comma = F.regexp_replace(F.regexp_replace(vi, r"(Accuracy TB: \d+)\.", "$1,"), "(MRA TB: )-", "$1–")
+    text = (F.when(v == 0, en).when(v == 1, headerless).when(v == 2, comma).when(v == 7, F.lit(""))
+            .when(v == 8, F.lit("run stopped, see the log")).otherwise(vi))
+    path = F.concat(F.lit("/results/"), F.when(v % 2 == 0, F.lit("hmi-a")).otherwise(F.lit("hmi-b")), F.lit("/run"),
+                    F.col("run").cast("string"), F.lit("/"), model, F.lit("_"), attack, F.lit(".txt"))
+    # written once: the texts are the input of the queries, not part of their plans
+    out = scratch_path(spark, "result-texts")
+    r.select(path.alias("path"), text.alias("text"), "model", "attack", "run").write.parquet(out)
+    return spark.read.parquet(out)
 
 
 def _pick_sql(values, idx):
@@ -92,18 +90,18 @@ def _fixed_sql(v, scale):
 
 TEXTS_SQL = f"""
 runs AS (
-  SELECT {_pick_sql(MODELS, 'mi')} AS model, {_pick_sql(ATTACKS, 'ai')} AS attack, (mi + ai) % 7 AS variant, total,
+  SELECT {_pick_sql(MODELS, 'mi')} AS model, {_pick_sql(ATTACKS, 'ai')} AS attack, (mi + ai + run) % 9 AS variant, run, total,
          (total + 99) // 100 AS chunks, correct * 10000 // total AS acc_bp, f1n * 10000 // total AS f1_e4,
          low * 50000 // total AS mre_e4, 10000 - low * 50000 // total AS mra_e4, price % 100000 AS time_cs
-  FROM (SELECT CAST(o_custkey % 5 AS INTEGER) AS mi, CAST(o_orderkey % 10 AS INTEGER) AS ai, count(*) AS total,
+  FROM (SELECT CAST(o_custkey % 5 AS INTEGER) AS mi, CAST(o_orderkey % 10 AS INTEGER) AS ai, CAST(o_custkey // 100 AS INTEGER) AS run, count(*) AS total,
                sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS correct,
                sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS f1n,
                sum(CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) AS low,
                CAST(sum(floor(o_totalprice)) AS BIGINT) AS price
-        FROM orders GROUP BY 1, 2)),
+        FROM orders GROUP BY 1, 2, 3)),
 texts AS (
-  SELECT '/results/' || CASE WHEN variant % 2 = 0 THEN 'hmi-a' ELSE 'hmi-b' END || '/' || model || '_' || attack || '.txt' AS path,
-    CASE WHEN variant = 0 THEN hdr || 'Total samples: ' || total || chr(10) || 'Number of chunks: ' || chunks || chr(10)
+  SELECT '/results/' || CASE WHEN variant % 2 = 0 THEN 'hmi-a' ELSE 'hmi-b' END || '/run' || run || '/' || model || '_' || attack || '.txt' AS path,
+    CASE WHEN variant = 7 THEN '' WHEN variant = 8 THEN 'run stopped, see the log' WHEN variant = 0 THEN hdr || 'Total samples: ' || total || chr(10) || 'Number of chunks: ' || chunks || chr(10)
            || 'Accuracy: ' || {_fixed_sql('acc_bp', 2)} || '%' || chr(10) || 'F1: ' || {_fixed_sql('f1_e4', 4)} || chr(10)
            || 'MRE: ' || {_fixed_sql('mre_e4', 4)} || chr(10) || 'MRA: ' || {_fixed_sql('mra_e4', 4)} || chr(10)
            || 'Total time: ' || {_fixed_sql('time_cs', 2)} || 's' || chr(10)
@@ -114,7 +112,7 @@ texts AS (
            || chr(10) || 'MRA TB: '
            || CASE WHEN variant = 2 THEN replace({_fixed_sql('mra_e4', 4)}, '-', '–') ELSE {_fixed_sql('mra_e4', 4)} END
            || chr(10) || 'Tổng thời gian: ' || {_fixed_sql('time_cs', 2)} || 's' || chr(10) END AS text,
-    model, attack
+    model, attack, run
   FROM (SELECT *, '=== ' || model || ' (' || attack || ') ===' || chr(10) AS hdr FROM runs))"""
 
 
@@ -142,10 +140,12 @@ def _parsed_sql():
     lm = _re_first("text", lh)
     la = f"(CASE WHEN regexp_matches(text, '{lh}') THEN regexp_extract(text, '{lh}', 2) END)"
     stem = "regexp_extract(path, '([^/]+?)(\\.[^./]*)?$', 1)"
-    model = f"coalesce(CASE WHEN {hm} IS NOT NULL THEN trim({hm}) END, trim({lm}), {stem}.string_split_regex('[_-]')[1])"
+    known = lambda part: "CASE " + " ".join(f"WHEN starts_with({stem}, '{m}_') THEN {part(m)}" for m in MODELS) + " END"
+    km, ka = known(lambda m: f"'{m}'"), known(lambda m: f"substr({stem}, {len(m) + 2})")
+    model = f"coalesce(CASE WHEN {hm} IS NOT NULL THEN trim({hm}) END, trim({lm}), {km}, {stem}.string_split_regex('[_-]')[1])"
     sm = f"regexp_extract({stem}, '^([^_-]*)[_-](.*)$', 2)"
     attack = (f"coalesce(CASE WHEN {hm} IS NOT NULL THEN nullif(trim({ha}), '') ELSE trim({la}) END, "
-              f"CASE WHEN regexp_matches({stem}, '[_-]') THEN {sm} END)")
+              f"{ka}, CASE WHEN regexp_matches({stem}, '[_-]') THEN {sm} END)")
     return f"""
 parsed AS (SELECT path, text, {model} AS model, {attack} AS attack,
   CAST({_metric_sql('total_samples')} AS BIGINT) AS total_samples, CAST({_metric_sql('num_chunks')} AS INTEGER) AS num_chunks,
@@ -153,13 +153,13 @@ parsed AS (SELECT path, text, {model} AS model, {attack} AS attack,
   {_metric_sql('mra')} AS mra, {_metric_sql('total_time')} AS total_time_s FROM texts),
 rows AS (SELECT regexp_extract(path, '([^/]+)/[^/]+$', 1) AS folder, regexp_extract(path, '([^/]+)$', 1) AS file,
   model, attack, {sqlgen.map_label('attack')} AS attack_id, total_samples, num_chunks, accuracy_percent, f1, mre, mra,
-  total_time_s FROM parsed)"""
+  total_time_s FROM parsed WHERE coalesce(total_samples, num_chunks, accuracy_percent, f1, mre, mra, total_time_s) IS NOT NULL)"""
 
 
 def result_rows(spark, sf_dir):
     """parse_result_folder over the generated texts: folder/file + parsed metrics + attack id."""
     t = result_texts(spark, sf_dir).select("path", "text")
-    p = R.parse_result_text(t, "text", "path")
+    p = R.drop_rows_without_metrics(R.parse_result_text(t, "text", "path", MODELS))
     return p.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"),
                     F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
                     "model", "attack", "attack_id", "total_samples", "num_chunks", "accuracy_percent", "f1",
@@ -175,16 +175,16 @@ def q_parse_result_text(spark, sf_dir):
 
 
 @register("split_stem", sql(TEXTS_SQL, body="""
-SELECT file, string_split_regex(stem, '[_-]')[1] AS model,
+SELECT path, string_split_regex(stem, '[_-]')[1] AS model,
        CASE WHEN regexp_matches(stem, '[_-]') THEN regexp_extract(stem, '^([^_-]*)[_-](.*)$', 2) END AS rest
-FROM (SELECT regexp_extract(path, '([^/]+)$', 1) AS file, regexp_extract(path, '([^/]+?)(\\.[^./]*)?$', 1) AS stem
+FROM (SELECT path, regexp_extract(path, '([^/]+?)(\\.[^./]*)?$', 1) AS stem
       FROM texts)"""))
 def q_split_stem(spark, sf_dir):
     from flowsieve.functions.numbers import split_stem
     t = result_texts(spark, sf_dir)
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
     parts = split_stem(stem)
-    return t.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), parts.getItem(0).alias("model"),
+    return t.select("path", parts.getItem(0).alias("model"),
                     F.try_element_at(parts, F.lit(2)).alias("rest"))
 
 
@@ -199,29 +199,29 @@ def q_summary_by_model_attack(spark, sf_dir):
 
 
 @register("comparison_matrix", sql(TEXTS_SQL, _parsed_sql(), body="SELECT attack, " + ", ".join(
-    f"coalesce(first(accuracy_percent) FILTER (WHERE model = '{m}'), 0.0) AS {m}" for m in MODELS)
+    f"coalesce({sqlgen.round6(f'avg(accuracy_percent) FILTER (WHERE model = {chr(39)}{m}{chr(39)})')}, 0.0) AS {m}" for m in MODELS)
     + " FROM rows GROUP BY attack"))
 def q_comparison_matrix(spark, sf_dir):
-    return ST.comparison_matrix(result_rows(spark, sf_dir), "attack", "model", "accuracy_percent", MODELS)
+    return ST.comparison_matrix(result_rows(spark, sf_dir), "attack", "model", "accuracy_percent")
 
 
 @register("diff_within_group", sql(TEXTS_SQL, _parsed_sql(), body="""
-SELECT model, file, num_chunks, CAST(coalesce(num_chunks - lag(num_chunks) OVER (PARTITION BY model
-       ORDER BY num_chunks NULLS LAST, file), num_chunks) AS INTEGER) AS chunk_real FROM rows"""))
+SELECT model, folder, file, num_chunks, CAST(coalesce(num_chunks - lag(num_chunks) OVER (PARTITION BY model
+       ORDER BY num_chunks NULLS LAST, folder, file), num_chunks) AS INTEGER) AS chunk_real FROM rows"""))
 def q_diff_within_group(spark, sf_dir):
     r = result_rows(spark, sf_dir)
-    out = ST.diff_within_group(r, "model", ["num_chunks", "file"], "num_chunks", "chunk_real")
-    return out.select("model", "file", "num_chunks", F.col("chunk_real").cast("int").alias("chunk_real"))
+    out = ST.diff_within_group(r, "model", ["num_chunks", "folder", "file"], "num_chunks", "chunk_real")
+    return out.select("model", "folder", "file", "num_chunks", F.col("chunk_real").cast("int").alias("chunk_real"))
 
 
 @register("sort_nulls_last", sql(TEXTS_SQL, _parsed_sql(), body="""
-SELECT CAST(row_number() OVER (ORDER BY model NULLS LAST, num_chunks NULLS LAST, file) AS INTEGER) AS pos, model,
-       num_chunks, file FROM rows"""))
+SELECT CAST(row_number() OVER (ORDER BY model NULLS LAST, num_chunks NULLS LAST, folder, file) AS INTEGER) AS pos, model,
+       num_chunks, folder, file FROM rows"""))
 def q_sort_nulls_last(spark, sf_dir):
-    r = result_rows(spark, sf_dir)
-    # a small result table (one row per result file): one ordered window is fine here
-    w = Window.orderBy(F.col("model").asc_nulls_last(), F.col("num_chunks").asc_nulls_last(), "file")
-    return r.select(F.row_number().over(w).cast("int").alias("pos"), "model", "num_chunks", "file")
+    r = result_rows(spark, sf_dir).select("model", "num_chunks", "folder", "file")
+    # a range sort; the position shows its order
+    s = row_index(r, [F.col("model").asc_nulls_last(), F.col("num_chunks").asc_nulls_last(), F.col("folder"), F.col("file")], "pos")
+    return s.withColumn("pos", (F.col("pos") + 1).cast("int"))
 
 
 @register("throughput", sql(TEXTS_SQL, _parsed_sql(), body=f"""
@@ -232,6 +232,7 @@ def q_throughput(spark, sf_dir):
     return t.select("model", "rows", round6("seconds").alias("seconds"), round6("rows_per_s").alias("rows_per_s"))
 
 
+# Metric names in a metric-line text.
 _METRIC_NAMES = ["Accuracy", "F1-score (weighted)", "MRE", "MRA"]
 
 
@@ -242,17 +243,17 @@ def metric_line_texts(spark, sf_dir):
                     _fixed(F.col("f1_e4"), 4), F.lit("\nMRE: "), _fixed(F.col("mre_e4"), 4), F.lit("\nMRA: "),
                     _fixed(F.greatest(F.col("mre_e4"), F.lit(0)), 4), F.lit("\n"))
     return r.select(F.concat(prefix, F.lit("_"), F.col("attack"), F.lit("_"), F.col("model"),
-                             F.lit("_result.txt")).alias("fname"), text.alias("text"))
+                             F.lit("_run"), F.col("run").cast("string"), F.lit("_result.txt")).alias("fname"), text.alias("text"))
 
 
 @register("parse_metric_lines", sql(f"""
-runs AS (SELECT {_pick_sql(MODELS, 'mi')} AS model, {_pick_sql(ATTACKS, 'ai')} AS attack, (mi + ai) % 7 AS variant,
+runs AS (SELECT {_pick_sql(MODELS, 'mi')} AS model, {_pick_sql(ATTACKS, 'ai')} AS attack, (mi + ai + run) % 9 AS variant, run,
                 correct * 10000 // total AS acc_bp, f1n * 10000 // total AS f1_e4, low * 50000 // total AS mre_e4
-  FROM (SELECT CAST(o_custkey % 5 AS INTEGER) AS mi, CAST(o_orderkey % 10 AS INTEGER) AS ai, count(*) AS total,
+  FROM (SELECT CAST(o_custkey % 5 AS INTEGER) AS mi, CAST(o_orderkey % 10 AS INTEGER) AS ai, CAST(o_custkey // 100 AS INTEGER) AS run, count(*) AS total,
                sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS correct,
                sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS f1n,
-               sum(CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) AS low FROM orders GROUP BY 1, 2))""", body=f"""
-SELECT CASE WHEN variant % 2 = 0 THEN 'CNN' ELSE 'RNN' END AS model_family, attack || '_' || model AS attack,
+               sum(CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) AS low FROM orders GROUP BY 1, 2, 3))""", body=f"""
+SELECT CASE WHEN variant % 2 = 0 THEN 'CNN' ELSE 'RNN' END AS model_family, attack || '_' || model || '_run' || run AS attack,
        CAST({_fixed_sql('acc_bp', 4)} AS DOUBLE) AS "Accuracy", CAST({_fixed_sql('f1_e4', 4)} AS DOUBLE) AS "F1-score (weighted)",
        CAST({_fixed_sql('mre_e4', 4)} AS DOUBLE) AS "MRE", CAST({_fixed_sql('greatest(mre_e4, 0)', 4)} AS DOUBLE) AS "MRA"
 FROM runs"""))
