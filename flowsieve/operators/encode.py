@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from flowsieve.functions.util import qcol
 
 
-def learn_categories(df: DataFrame, column: str) -> list:
-    """Distinct non-null values, sorted. The distinct runs distributed (partial aggregation);
-    only the category list - a handful of protocol numbers or class names - reaches the driver."""
-    return sorted(r[0] for r in df.select(qcol(column)).where(qcol(column).isNotNull()).distinct().collect())
+MAX_CATEGORIES = 10_000
+
+
+def learn_categories(df: DataFrame, column: str, most: int = MAX_CATEGORIES) -> list:
+    """Distinct non-null values, sorted. The distinct runs distributed (partial aggregation); at most
+    ``most`` values reach the driver, and a column with more is an error, never a cut."""
+    found = [r[0] for r in df.select(qcol(column)).where(qcol(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"column {column} has more than {most} categories")
+    return sorted(found)
 
 
 def one_hot(df: DataFrame, column: str, categories: list | None = None, drop_first: bool = True,

@@ -32,6 +32,11 @@ def split_two(df: DataFrame, key, test_percent: int = 25):
     return df.where(b >= F.lit(test_percent)), df.where(b < F.lit(test_percent))
 
 
+def split_two_label(key, test_percent: int = 25):
+    """'test' | 'train' as a column: both parts from one pass."""
+    return F.when(hash_bucket(key, 100) < F.lit(test_percent), F.lit("test")).otherwise(F.lit("train"))
+
+
 def split_label(key, test_percent: int = 25, val_percent_of_rest: int = 20):
     """'test' | 'val' | 'train' (25 / 15 / 60 with defaults) from nested hash thresholds."""
     b = hash_bucket(key, 100)
@@ -130,5 +135,5 @@ def bounded_rank_filter(df: DataFrame, group: str, order_hash: str, tiebreak: st
 def sample_exact_per_group(df: DataFrame, group: str, key: str, fraction: float, minimum: int = 1) -> DataFrame:
     """Exactly max(minimum, floor(count * fraction)) rows of each group, chosen by key hash."""
     d = df.withColumn("_h", md5_u32(key)).withColumn("_k", as_col(key).cast("string"))
-    quota = lambda n: F.greatest(F.lit(minimum), F.floor(n * F.lit(fraction))).cast("bigint")
+    quota = lambda n: F.greatest(F.lit(minimum), F.floor(n * F.lit(fraction) + F.lit(1e-9))).cast("bigint")
     return bounded_rank_filter(d, group, "_h", "_k", quota).drop("_h", "_k")

@@ -118,8 +118,20 @@ def diff_within_group(df: DataFrame, part: str, order: list[str], value: str, ou
     return df.withColumn(out, F.coalesce(F.col(value) - F.lag(value).over(w), F.col(value)))
 
 
-def discover_numeric_features(df: DataFrame, file_col: str, exclude: list[str]) -> list[str]:
-    """Sorted union of numeric columns (schema level; no data is read)."""
+def column_profile(df: DataFrame) -> DataFrame:
+    """(column_name, position, non_null) for every column, from one aggregate."""
+    n = len(df.columns)
+    wide = df.agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    stack = ", ".join(f"'{c}', {i}, n{i}" for i, c in enumerate(df.columns))
+    return wide.selectExpr(f"stack({n}, {stack}) as (column_name, position, non_null)")
+
+
+def discover_features(df: DataFrame, file_col: str, exclude: list[str]) -> DataFrame:
+    """(feature): numeric columns that hold a value in at least one file, sorted. A column that a file
+    lacks is null in all its rows."""
     numeric = {"int", "bigint", "double", "float", "smallint", "tinyint", "boolean"}
-    return sorted(f.name for f in df.schema.fields
-                  if f.dataType.simpleString() in numeric and f.name not in exclude and f.name != file_col)
+    names = sorted(f.name for f in df.schema.fields
+                   if f.dataType.simpleString() in numeric and f.name not in exclude and f.name != file_col)
+    per_file = df.groupBy(qcol(file_col)).agg(*[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(names)])
+    stack = ", ".join(f"'{c}', n{i}" for i, c in enumerate(names))
+    return per_file.selectExpr(f"stack({len(names)}, {stack}) as (feature, n)").where("n > 0").select("feature").distinct()

@@ -68,12 +68,10 @@ def q_select_numeric(spark, sf_dir):
 _PARSE_COLS = ["Source IP", "Destination IP", "SimillarHTTP", "Protocol", "Label", "Packets"]
 
 
-@register("drop_unparseable_columns", fsql(" UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, CAST(coalesce(sum(CASE WHEN {q(c)} IS NOT NULL AND "
-    f"TRY_CAST(CAST({q(c)} AS VARCHAR) AS DOUBLE) IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS bad FROM flows"
-    for c in _PARSE_COLS)))
+@register("drop_unparseable_columns", fsql(
+    'SELECT "Flow ID", CAST("Protocol" AS DOUBLE) AS "Protocol", CAST("Packets" AS DOUBLE) AS "Packets" FROM flows'))
 def q_drop_unparseable_columns(spark, sf_dir):
-    return clean.unparseable_counts(flows(spark, sf_dir), _PARSE_COLS)
+    return clean.drop_unparseable_columns(flows(spark, sf_dir).select("Flow ID", *_PARSE_COLS), _PARSE_COLS)
 
 
 @register("inf_to_sentinel", fsql(
@@ -188,12 +186,12 @@ def q_map_label_inverse(spark, sf_dir):
 
 
 @register("label_encode", fsql(
-    'SELECT "Flow ID", "Label", CAST(dense_rank() OVER (ORDER BY "Label") - 1 AS INTEGER) AS code '
+    'SELECT "Flow ID", "Label", CAST(dense_rank() OVER (ORDER BY "Label") - 1 AS INTEGER) AS code, "Label" AS decoded '
     'FROM flows WHERE "Label" IS NOT NULL'))
 def q_label_encode(spark, sf_dir):
     f = flows(spark, sf_dir).where(qcol("Label").isNotNull()).select("Flow ID", "Label")
     classes = encode.label_encoder_fit(f, "Label")
-    return encode.label_encode(f, "Label", classes, "code")
+    return encode.label_decode(encode.label_encode(f, "Label", classes, "code"), "code", classes, "decoded")
 
 
 def _raw_label_spark(f):

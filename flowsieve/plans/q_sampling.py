@@ -22,10 +22,14 @@ def q_hash_sample(spark, sf_dir):
 
 
 @register("sample_per_chunk", sql(FLOWS_SQL, body=f"""
-SELECT chunk_id, CAST(count(*) AS BIGINT) AS sampled FROM flows WHERE {H} < {THRESH} GROUP BY chunk_id"""))
+SELECT chunk_id, "Flow ID", "Label" FROM (
+  SELECT chunk_id, "Flow ID", "Label", count(*) OVER (PARTITION BY chunk_id) AS cnt,
+         row_number() OVER (PARTITION BY chunk_id ORDER BY {H}, "Flow ID") AS r FROM flows)
+WHERE r <= greatest(1, floor(cnt / 30))"""))
 def q_sample_per_chunk(spark, sf_dir):
-    s = S.hash_sample(flows(spark, sf_dir), qcol("Flow ID"), FRACTION)
-    return s.groupBy("chunk_id").agg(F.count(F.lit(1)).cast("bigint").alias("sampled"))
+    """The exact share of every chunk, rows returned."""
+    f = flows(spark, sf_dir).select("chunk_id", "Flow ID", "Label")
+    return S.sample_exact_per_group(f, "chunk_id", "Flow ID", FRACTION, minimum=1)
 
 
 @register("sample_exact_per_file", sql(FLOWS_SQL, body=f"""
@@ -52,9 +56,7 @@ def q_shuffle_rows(spark, sf_dir):
 @register("split_two", sql(FLOWS_SQL, body=f"""
 SELECT "Flow ID", CASE WHEN {sqlgen.bucket100('"Flow ID"')} < 25 THEN 'test' ELSE 'train' END AS split FROM flows"""))
 def q_split_two(spark, sf_dir):
-    f = flows(spark, sf_dir).select("Flow ID")
-    train, test = S.split_two(f, qcol("Flow ID"), 25)
-    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return flows(spark, sf_dir).select("Flow ID", S.split_two_label(qcol("Flow ID"), 25).alias("split"))
 
 
 @register("split_three", sql(FLOWS_SQL, body=f"""

@@ -37,12 +37,11 @@ def q_scaler_transform(spark, sf_dir):
     return out.select("flow_id", *[round6(qcol(c)).alias(c) for c in SCALE_FEATURES[:3]])
 
 
-@register("zero_variance_filter", sql(*BASE_CTES, body=" UNION ALL ".join(
-    f"SELECT '{c}' AS feature, coalesce(var_samp({'1.0' if c == 'Constant' else q(c)}), 0.0) <> 0 AS keep FROM prepared"
-    for c in VAR_FEATURES)))
+@register("zero_variance_filter", sql(*BASE_CTES, body="SELECT flow_id, " + ", ".join(
+    q(c) for c in VAR_FEATURES if c != "Constant") + " FROM prepared"))
 def q_zero_variance_filter(spark, sf_dir):
-    prep = prepared_flows(spark, sf_dir).withColumn("Constant", F.lit(1.0))
-    return ST.zero_variance_columns(prep, VAR_FEATURES).select("feature", "keep")
+    prep = prepared_flows(spark, sf_dir).withColumn("Constant", F.lit(1.0)).select("flow_id", *VAR_FEATURES)
+    return ST.zero_variance_filter(prep, VAR_FEATURES)
 
 
 _DISC = ["Packets", "Bytes", "Discount", "Tax", "Size", "Retail Price", "Flow Bytes/s", "Protocol", "Inbound"]
@@ -61,22 +60,17 @@ def q_discover_features(spark, sf_dir):
     f = flows(spark, sf_dir)
     # one file lacks a column: the union of per-file schemas must still include it
     f = f.withColumn("Tax", F.when(qcol("Label") == "DrDoS_DNS", F.lit(None)).otherwise(qcol("Tax")))
-    per = f.groupBy("source_file").agg(*[F.count(qcol(c)).alias(c) for c in _DISC])
-    long = per.selectExpr("source_file", "stack({}, {}) as (feature, nn)".format(
-        len(_DISC), ", ".join(f"'{c}', `{c}`" for c in _DISC)))
-    return long.where("nn > 0").select("feature").distinct()
-
-
-@register("column_list", sql(FLOWS_SQL, body="SELECT column_name, CAST(column_index AS INTEGER) AS position FROM ("
-                             "SELECT unnest(['" + "', '".join(
-                                 ["Flow ID", "Source IP", "Destination IP", "Timestamp", "Protocol", "Packets",
-                                  "Bytes", "Discount", "Tax", "Size", "Retail Price", "Flow Bytes/s", "SimillarHTTP",
-                                  "Inbound", "Label", "source_file", "chunk_id"])
-                             + "']) AS column_name, unnest(range(0, 17)) AS column_index)"))
+    return ST.discover_features(f, "source_file", exclude=["chunk_id"])
+
+
+_COLUMNS = ["Flow ID", "Source IP", "Destination IP", "Timestamp", "Protocol", "Packets", "Bytes", "Discount", "Tax", "Size",
+            "Retail Price", "Flow Bytes/s", "SimillarHTTP", "Inbound", "Label", "source_file", "chunk_id"]
+
+
+@register("column_list", sql(FLOWS_SQL, body=" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {i} AS position, CAST(count({q(c)}) AS BIGINT) AS non_null FROM flows" for i, c in enumerate(_COLUMNS))))
 def q_column_list(spark, sf_dir):
-    f = flows(spark, sf_dir)
-    rows = [(c, i) for i, c in enumerate(f.columns)]
-    return spark.createDataFrame(rows, "column_name string, position int")
+    return ST.column_profile(flows(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ 2.9 joins / sets / limits
@@ -97,11 +91,10 @@ pa AS (SELECT flow_id, y, {RULE_SQL} AS p_packets FROM prepared),
 pb AS (SELECT flow_id, CAST(CASE WHEN "Tax" < 0.04 THEN 0 ELSE 8 END AS INTEGER) AS p_tax FROM prepared)""", body="""
 SELECT pa.flow_id, y, p_packets, p_tax FROM pa JOIN pb ON pa.flow_id = pb.flow_id"""))
 def q_join_predictions(spark, sf_dir):
-    prep = prepared_flows(spark, sf_dir)
-    a = prep.select("flow_id", "y", rule_prediction().alias("p_packets"))
-    b = prep.select("flow_id", F.when(F.col("Tax") < 0.04, 0).otherwise(8).cast("int").alias("p_tax"))
-    # both sides come from the same scan, so the equi-join on flow_id co-partitions them
-    return a.join(b, "flow_id")
+    # both models score the same rows, so their columns are selected side by side; outputs stored
+    # apart are joined on flow_id
+    return prepared_flows(spark, sf_dir).select("flow_id", "y", rule_prediction().alias("p_packets"),
+                                                F.when(F.col("Tax") < 0.04, 0).otherwise(8).cast("int").alias("p_tax"))
 
 
 @register("distinct_union", sql(FLOWS_SQL, f"m(name, id) AS (VALUES {_MAP_VALUES})", body="""

@@ -15,7 +15,6 @@ from oracle_check import TABLES, rows_of  # noqa: E402
 SF = os.environ.get("FLOWSIEVE_TEST_SF", "/root/testdata/sf0.001")
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
-SLOW_ROWS_ONLY = {"random_forest", "linear_svm", "mlp_classify", "batch_score"}
 
 
 @pytest.fixture(scope="module")
@@ -38,10 +37,8 @@ def test_query_matches_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows_only_queries_run(spark, name):
-    if name in SLOW_ROWS_ONLY and not os.environ.get("FLOWSIEVE_SLOW_TESTS"):
-        pytest.skip("slow estimator; set FLOWSIEVE_SLOW_TESTS=1")
     df = QUERIES[name](spark, SF)
-    assert df.count() >= 0 and len(df.columns) > 0
+    assert df.count() > 0 and len(df.columns) > 0
 
 
 def test_entry_smoke(spark):
