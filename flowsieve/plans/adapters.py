@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its scan has fewer tasks than there are cores (a table of one
+    small file); larger inputs, which have tasks enough, are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # Class label of a flow, from returnflag || linestatus (fixed demo assignment).
 FLAG_LABELS = [("AF", "DrDoS_DNS"), ("AO", "DrDoS_LDAP"), ("NF", "DrDoS_MSSQL"),
                ("NO", "DrDoS_NetBIOS"), ("RF", "DrDoS_NTP"), ("RO", "Syn")]
@@ -33,7 +40,9 @@ def _flag_label(code):
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem")
+    l = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate"))
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
     j = l.join(p, l.l_partkey == p.p_partkey, "inner")
     ok, ln, pk, sk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")

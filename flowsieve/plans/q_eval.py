@@ -12,14 +12,17 @@ from flowsieve.plans.adapters import sql
 from flowsieve.plans.common import (BASE_CTES, PREP_FEATURES, RULE_PAIRS_SQL, RULE_SQL, prepared_flows,
                                     rule_pairs, rule_prediction)
 from flowsieve.plans.registry import register
+from flowsieve.session import scratch_path
 
 # ----------------------------------------------------------------------------------------
 # Flagship: clean -> encode -> label map -> 75/25 hash split -> scaler -> Gaussian NB.
 
 
 def nb_predictions(spark, sf_dir):
-    prep = prepared_flows(spark, sf_dir)
-    train, test = split_two(prep, "flow_id", 25)
+    # prepared once in the shared folder, read by the fit and by the scoring
+    path = scratch_path(spark, "prepared")
+    prepared_flows(spark, sf_dir).select("flow_id", "y", *PREP_FEATURES).write.parquet(path)
+    train, test = split_two(spark.read.parquet(path), "flow_id", 25)
     scaler, model = nb.fit_with_scaler(train, PREP_FEATURES, "y")
     return model.transform(scaler.transform(test), out="p")
 

@@ -80,8 +80,11 @@ def q_topk_scores(spark, sf_dir):
 
 @register("weighted_vote", sql(SCORES_SQL, body="""
 SELECT vec_id, label, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS voted,
-       list_transform(v, lambda x: round(x, 6) + 0.0) AS combined
-FROM (SELECT vec_id, label, list_transform(range(1, len(a) + 1), lambda i: 0.6 * a[i] + 0.4 * b[i]) AS v FROM sc)"""))
+       list_transform(v, lambda x: round(x, 6) + 0.0) AS combined, CAST(list_position(w, list_max(w)) - 1 AS INTEGER) AS voted_prob
+FROM (SELECT vec_id, label, list_transform(range(1, len(a) + 1), lambda i: 0.6 * a[i] + 0.4 * b[i]) AS v,
+             list_transform(range(1, len(a) + 1), lambda i: 0.6 * pa[i] + 0.4 * pb[i]) AS w
+      FROM (SELECT *, """ + SOFTMAX_SQL.format(a="a") + " AS pa, " + SOFTMAX_SQL.format(a="b") + """ AS pb FROM sc))"""))
 def q_weighted_vote(spark, sf_dir):
-    s = scores(spark, sf_dir).select("vec_id", "label", V.weighted_vote("a", "b").alias("v"))
-    return s.select("vec_id", "label", V.argmax("v").alias("voted"), r6arr(F.col("v")).alias("combined"))
+    s = scores(spark, sf_dir).select("vec_id", "label", V.weighted_vote("a", "b").alias("v"),
+                                     V.weighted_vote_class("a", "b", on="probability").alias("voted_prob"))
+    return s.select("vec_id", "label", V.argmax("v").alias("voted"), r6arr(F.col("v")).alias("combined"), "voted_prob")

@@ -159,6 +159,30 @@ def test_parse_result_text(spark):
     assert (s.attack, s.total_samples, s.num_chunks, s.accuracy_percent, s.total_time_s) == ("Syn", 1234567, 3, 80.5, 2.0)
 
 
+def test_report_writer_reads_back_and_known_models(spark):
+    row = spark.createDataFrame([("knn_model", "Syn", 2179930, 22, 19.26, 0.3229, 1.4843, -0.4843, 305.56)],
+                                "model string, attack string, n long, c int, a double, f double, e double, r double, t double")
+    numbers = [F.col(c) for c in ("n", "c", "a", "f", "e", "r", "t")]
+    texts = row.select(F.lit("/r/x.txt").alias("path"), R.result_text("vi", F.col("model"), F.col("attack"), *numbers).alias("text"))
+    texts = texts.unionByName(row.select(F.lit("/r/random_forest_model_Syn.txt").alias("path"),
+                                         R.result_text("en", F.lit(None).cast("string"), F.col("attack"), *numbers).alias("text")))
+    texts = texts.unionByName(spark.createDataFrame([("/r/svm_model_TFTP.txt", ""), ("/r/knn_model_TFTP.txt", "stray")], "path string, text string"))
+    out = R.parse_result_text(texts, "text", "path", ["knn_model", "random_forest_model", "svm_model"])
+    got = {r.path: r for r in out.collect()}
+    for path, model in (("/r/x.txt", "knn_model"), ("/r/random_forest_model_Syn.txt", "random_forest_model")):
+        r = got[path]
+        assert (r.model, r.attack, r.attack_id, r.total_samples, r.num_chunks) == (model, "Syn", 8, 2179930, 22)
+        assert (r.accuracy_percent, r.f1, r.mre, r.mra, r.total_time_s) == (19.26, 0.3229, 1.4843, -0.4843, 305.56)
+    assert (got["/r/svm_model_TFTP.txt"].model, got["/r/svm_model_TFTP.txt"].attack) == ("svm_model", "TFTP")
+    assert sorted(r.path for r in R.drop_rows_without_metrics(out).collect()) == ["/r/random_forest_model_Syn.txt", "/r/x.txt"]
+
+
+def test_comparison_matrix_takes_its_columns_from_the_data(spark):
+    df = spark.createDataFrame([("Syn", "a", 1.0), ("Syn", "a", 3.0), ("TFTP", "new", 5.0)], "attack string, model string, v double")
+    got = {r.attack: (r.a, r.new) for r in ST.comparison_matrix(df, "attack", "model", "v").collect()}
+    assert got == {"Syn": (2.0, 0.0), "TFTP": (0.0, 5.0)}
+
+
 def test_diff_within_group(spark):
     chunks = [13, 16, 22, 27, 32, 41, 46, 51, 52, 202]
     df = spark.createDataFrame([("knn", f"f{c}", c) for c in chunks[::-1]], "model string, file string, n int")
