@@ -30,7 +30,8 @@ LEVELS = 4
 FROM_LEVEL = 3  # phrases of about 27 characters and more
 EMPTY = 0xFFFF
 BATCH_CHARS = 1 << 19
-BUCKET_CHARS = 8_000_000
+BUCKET_CHARS = 2_000_000
+BUCKETS_A_TASK = 4  # several small ranges a task even out what the hash of their number deals
 MAX_BUCKETS = 20_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 POWERS = np.cumprod(np.full(64, 0xD6E8FEB86659FD93, np.uint64))
@@ -150,7 +151,7 @@ def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     guests = (d.alias("d").join(F.broadcast(visits).alias("v"), (F.col("d.bucket") == F.col("v.bucket")) & F.col("d.id").eqNullSafe(F.col("v.id"))
                                 & (F.col("d.digest") == F.col("v.digest")))
               .select(F.col("v.to").alias("bucket"), F.lit(1).alias("guest"), "d.id", "d.digest", "d.text"))
-    return d.unionByName(guests).repartition(max(2, len(firsts)), "bucket").sortWithinPartitions("bucket", "guest", F.col("id").asc_nulls_last(), "digest")
+    return d.unionByName(guests).repartition(max(2, -(-len(firsts) // BUCKETS_A_TASK)), "bucket").sortWithinPartitions("bucket", "guest", F.col("id").asc_nulls_last(), "digest")
 
 
 FIELDS = [("n_chars", "long", pa.int64()), ("edited_sha256", "string", pa.string()), ("fingerprint", "string", pa.string()),
