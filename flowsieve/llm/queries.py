@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import bitsliced, bpe, licenses, mixing, parsing, pii, quality, simhash, suffixes, toxicity
+from flowsieve.llm import bitsliced, bpe, licenses, mixing, oracles, parsing, pii, quality, simhash, suffixes, toxicity
 from flowsieve.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,11 +54,17 @@ def op9_license_scan(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
 
 
+ORACLE["op9_license_scan"] = oracles.license_scan()
+
+
 @query
 def op4_pii_sanitise(spark, sf_dir):
     return pii.find(documents(spark, sf_dir))
 
 
+ORACLE["op4_pii_sanitise"] = oracles.pii_find()
+
+
 @query
 def op10_document_fingerprints(spark, sf_dir):
     return parsing.edited_fingerprints(documents(spark, sf_dir))
