@@ -103,7 +103,7 @@ def landing(size, pi) -> np.ndarray:
 
 
 def _flight_of(level: int, last: bool, seed: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["digest", "id", "size"], na_position="last", kind="stable").reset_index(drop=True)
         rng = np.random.default_rng(zlib.crc32(repr((key[0] if isinstance(key[0], str) else None, int(key[1]), level, seed)).encode()))
         size = pdf["size"].to_numpy()
