@@ -46,3 +46,11 @@ def test_label_lookup_has_no_join(spark):
     from flowsieve.functions.labels import map_label
     p = _plan(flows(spark, SF).select(map_label(F.col("Label")).alias("y")))
     assert p.count("Join") == 1  # only lineitem x part; the label map is a literal lookup
+
+
+def test_single_pass_queries_scan_their_tables_once(spark):
+    import __spark_entry__ as E
+    for name in ("split_two", "join_predictions", "misclassified", "sample_exact_per_file"):
+        scans = _plan(E.queries()[name](spark, SF)).count("FileScan parquet")
+        # lineitem and part; two passes where a boundary or a count comes first
+        assert scans <= (2 if name in ("split_two", "join_predictions") else 4), (name, scans)
