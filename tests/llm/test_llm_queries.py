@@ -37,3 +37,23 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() == docs.count() and "ids" in out.columns
     assert out.where("n_tokens <> size(ids)").count() == 0
+
+
+@pytest.mark.parametrize("rows", ["none", "awkward"])
+def test_pipeline_stages_on_awkward_rows(spark, rows):
+    """Nulls in every column, empty texts, ties, repeated rows, no rows: each stage returns rows of
+    its input (or copies), and the last one tokens."""
+    text = "one two three four five six " * 20
+    some = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, None, "en", None, None), (3, text, "en", "a", 560), (3, text, "en", "a", 560),
+            (4, text, None, "b", 560), (5, text + "mail a@b.cd now", "en", "b", None), (6, "you idiot", "en", "c", 9), (None, text, "en", "c", 1)]
+    docs = spark.createDataFrame(some if rows == "awkward" else [], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF).cache()
+        assert out.schema.names == docs.schema.names, name
+        if name in ("toxicity", "simhash near-dedup"):
+            assert out.exceptAll(docs).count() == 0, name
+        docs = out
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert out.count() == docs.count()
+    if rows == "awkward":
+        assert "a@b.cd" not in " ".join(r.text or "" for r in docs.collect())
