@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.labels import map_label
 from flowsieve.functions.numbers import clean_number
-from flowsieve.functions.util import as_col
 
 # ---------------------------------------------------------------------------
 # Result-text patterns that must equal the original tool's so the
