@@ -48,23 +48,6 @@ class GaussianNBModel:
         return res if keep_scores else res.drop("_nb_scores")
 
 
-def fit(df: DataFrame, features: list[str], label: str) -> GaussianNBModel:
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, f in enumerate(features):
-        aggs += [F.avg(qcol(f)).alias(f"m{i}"), F.var_pop(qcol(f)).alias(f"v{i}")]
-    rows = sorted(df.groupBy(qcol(label).alias("_c")).agg(*aggs).collect(), key=lambda r: r["_c"])
-    glob = df.agg(*[F.var_pop(qcol(f)).alias(f"g{i}") for i, f in enumerate(features)]).first()
-    eps = VAR_SMOOTHING * max(float(glob[f"g{i}"] or 0.0) for i in range(len(features)))
-    total = sum(r["_n"] for r in rows)
-    return GaussianNBModel(
-        features=list(features),
-        classes=[int(r["_c"]) for r in rows],
-        priors=[r["_n"] / total for r in rows],
-        means=[[float(r[f"m{i}"]) for i in range(len(features))] for r in rows],
-        variances=[[float(r[f"v{i}"]) + eps for i in range(len(features))] for r in rows],
-    )
-
-
 def fit_with_scaler(df: DataFrame, features: list[str], label: str):
     """Standardiser + Gaussian NB on the standardised features from ONE grouped aggregate.
 

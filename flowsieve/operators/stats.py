@@ -40,10 +40,6 @@ class ScalerModel:
             cols += [self.expr(c).alias(c + suffix) for c in self.columns]
         return df.select(*cols)
 
-    def stats_df(self, spark):
-        rows = [(c, float(m), float(s)) for c, m, s in zip(self.columns, self.means, self.stds)]
-        return spark.createDataFrame(rows, "feature string, mean double, std double")
-
 
 def scaler_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """One-pass mean and population std of each column, as a (feature, mean, std) table.

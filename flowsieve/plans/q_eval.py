@@ -86,6 +86,17 @@ def q_confusion_matrix(spark, sf_dir):
     return M.confusion_matrix(rule_pairs(spark, sf_dir), "y", "p")
 
 
+_WIDE = list(range(11))
+
+
+@register("confusion_matrix_wide", sql(*BASE_CTES, RULE_PAIRS_SQL, body="SELECT y.y, " + ", ".join(
+    f"CAST(count(*) FILTER (WHERE p = {v}) AS BIGINT) AS p_{v}" for v in _WIDE)
+    + f" FROM (SELECT CAST(unnest(range(0, {len(_WIDE)})) AS INTEGER) AS y) y LEFT JOIN pairs ON pairs.y = y.y GROUP BY y.y"))
+def q_confusion_matrix_wide(spark, sf_dir):
+    """Fixed labels, one column per predicted class; classes without rows are zero."""
+    return M.confusion_matrix_wide(rule_pairs(spark, sf_dir), _WIDE)
+
+
 @register("accuracy", sql(*BASE_CTES, RULE_PAIRS_SQL, body=f"""
 SELECT {sqlgen.round6('avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM pairs"""))
 def q_accuracy(spark, sf_dir):

@@ -36,8 +36,11 @@ RUNTIME_SQL_CONF = {
 
 
 def apply_runtime_conf(spark: SparkSession) -> None:
+    """Defaults for settings that whoever built the session left open; what they set stays."""
+    given = spark.sparkContext.getConf()
     for k, v in RUNTIME_SQL_CONF.items():
-        spark.conf.set(k, v)
+        if not given.contains(k):
+            spark.conf.set(k, v)
 
 
 def get_spark(master: str | None = None, app: str = "flowsieve",
