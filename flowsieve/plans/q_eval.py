@@ -18,13 +18,13 @@ from flowsieve.session import scratch_path
 # Flagship: clean -> encode -> label map -> 75/25 hash split -> scaler -> Gaussian NB.
 
 
-def nb_predictions(spark, sf_dir):
+def nb_predictions(spark, sf_dir, keep_scores: bool = False):
     # prepared once in the shared folder, read by the fit and by the scoring
     path = scratch_path(spark, "prepared")
     prepared_flows(spark, sf_dir).select("flow_id", "y", *PREP_FEATURES).write.parquet(path)
     train, test = split_two(spark.read.parquet(path), "flow_id", 25)
     scaler, model = nb.fit_with_scaler(train, PREP_FEATURES, "y")
-    return model.transform(scaler.transform(test), out="p")
+    return model.transform(scaler.transform(test), out="p", keep_scores=keep_scores)
 
 
 def _nb_sql_ctes() -> str:

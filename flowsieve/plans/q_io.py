@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.functions.labels import map_label_inverse
 from flowsieve.functions.util import qcol
 from flowsieve.operators import metrics as M
 from flowsieve.operators import reports as R
@@ -18,6 +17,7 @@ from flowsieve.operators.sampling import hash_sample
 from flowsieve.plans import sqlgen
 from flowsieve.plans.adapters import FLOWS_SQL, flows, sql
 from flowsieve.plans.common import BASE_CTES, RULE_PAIRS_SQL, rule_pairs
+from flowsieve.plans.q_eval import _nb_sql_ctes, nb_predictions
 from flowsieve.plans.q_reports import TEXTS_SQL, _parsed_sql, result_rows, result_texts
 from flowsieve.plans.registry import register
 from flowsieve.schema import ATTACK_MAPPING_V1
@@ -178,14 +178,19 @@ def _name_sql(c):
     return f"CASE {c} " + " ".join(f"WHEN {v} THEN '{k}'" for k, v in ATTACK_MAPPING_V1.items()) + f" ELSE CAST({c} AS VARCHAR) END"
 
 
-@register("sink_predictions", sql(*BASE_CTES, RULE_PAIRS_SQL, body=f"""
-SELECT flow_id, y, p, {_name_sql('y')} AS true_name, {_name_sql('p')} AS predicted_name, y = p AS correct FROM pairs"""))
+@register("sink_predictions", sql(*BASE_CTES, _nb_sql_ctes(), f"""
+prob AS (SELECT flow_id, exp(s - max(s) OVER (PARTITION BY flow_id)) AS e FROM scored),
+tops AS (SELECT flow_id, list_reverse_sort(list(e / t)) AS top FROM (
+  SELECT flow_id, e, sum(e) OVER (PARTITION BY flow_id) AS t FROM prob) GROUP BY flow_id)""", body=f"""
+SELECT CAST(row_number() OVER (ORDER BY flow_id) - 1 AS BIGINT) AS idx, flow_id, y, p, {_name_sql('y')} AS true_name,
+       {_name_sql('p')} AS predicted_name, y = p AS correct, round(top[1], 3) + 0.0 AS top1, round(top[2], 3) + 0.0 AS top2,
+       round(top[3], 3) + 0.0 AS top3, 'gaussian_nb' AS model FROM nbpred JOIN tops USING (flow_id)"""))
 def q_sink_predictions(spark, sf_dir):
     path = scratch_path(spark, "predictions")
-    pairs = rule_pairs(spark, sf_dir)
-    W.write_csv(pairs.select("flow_id", "y", "p", map_label_inverse("y").alias("true_name"),
-                             map_label_inverse("p").alias("predicted_name"), (F.col("y") == F.col("p")).alias("correct")), path)
-    return W.read_csv(spark, path, "flow_id string, y int, p int, true_name string, predicted_name string, correct boolean")
+    scored = nb_predictions(spark, sf_dir, keep_scores=True)
+    W.write_predictions(W.prediction_output(scored, "flow_id", "y", "p", "_nb_scores", "gaussian_nb"), path)
+    columns = "flow_id string, y int, p int, true_name string, predicted_name string, correct boolean, top1 double, top2 double, top3 double, idx bigint"
+    return W.read_csv(spark, path, columns + ", model string")
 
 
 _mc, _mb = sqlgen.summary_metrics_sql("pairs", ["chunk_id"])

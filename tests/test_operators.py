@@ -125,6 +125,27 @@ def test_knn_is_exact_with_equal_rows_and_large_offsets(spark):
     assert [r.tid for r in knn.knn_neighbors(q, t, 5, "id", "v", "label").orderBy("rank").collect()] == [200, 201, 199, 202, 198]
 
 
+def test_shuffle_is_a_permutation_and_bernoulli_keeps_its_share(spark):
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
+    out = [r.k for r in S.shuffle_rows(df, F.col("k"), 4).collect()]
+    assert out != [str(i) for i in range(20_000)] and sorted(map(int, out)) == list(range(20_000))
+    assert out == [r.k for r in S.shuffle_rows(df.repartition(7), F.col("k"), 4).collect()]
+    kept = S.sample_bernoulli(df, 0.1, seed=1)
+    assert 1_800 < kept.count() < 2_200 and kept.exceptAll(df).count() == 0
+
+
+def test_rechunk_writes_several_files_a_bucket(spark, tmp_path):
+    from flowsieve.sinks import writers as W
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        W.rechunk(spark.range(20_000).select(F.col("id").cast("string").alias("k")), F.col("k"), str(tmp_path / "b"), 4)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = [len(list(d.glob("*.parquet"))) for d in (tmp_path / "b").glob("bucket=*")]
+    assert len(files) == 4 and min(files) >= 3
+
+
 def test_exact_sample_of_a_null_group(spark):
     df = spark.range(600).select(F.when(F.col("id") % 2 == 0, F.lit("g")).alias("g"), "id")
     out = S.sample_exact_per_group(df, "g", "id", 1 / 30).groupBy("g").count().collect()
