@@ -125,6 +125,7 @@ def ball_links(distinct: DataFrame, max_distance: int) -> DataFrame:
     n = distinct.count()
     bits = max(MIN_SLICES - 1, n * per // SLICE_VARIANTS).bit_length()
     reached = np.unique(slice_of(flips(radius), bits))
+    chunk = CHUNK if len(reached) == 1 << bits else max(1, SLICE_VARIANTS // len(reached))  # sent at a time
     schema = "slice long, fingerprints binary"
 
     def emit(batches):
@@ -142,11 +143,13 @@ def ball_links(distinct: DataFrame, max_distance: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["slice", "fingerprints"])
         held, count = [], 0
         for b in batches:
-            held.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            count += len(held[-1])
-            if count >= CHUNK:
-                yield rows(np.concatenate(held))
-                held, count = [], 0
+            fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for i in range(0, len(fps), chunk):
+                held.append(fps[i:i + chunk])
+                count += len(held[-1])
+                if count >= chunk:
+                    yield rows(np.concatenate(held))
+                    held, count = [], 0
         if count:
             yield rows(np.concatenate(held))
 
