@@ -126,6 +126,7 @@ def ball_links(distinct: DataFrame, max_distance: int) -> DataFrame:
     bits = max(MIN_SLICES - 1, n * per // SLICE_VARIANTS).bit_length()
     reached = np.unique(slice_of(flips(radius), bits))
     chunk = CHUNK if len(reached) == 1 << bits else max(1, SLICE_VARIANTS // len(reached))  # sent at a time
+    tasks = 1 << bits if bits <= 10 else 1 << (bits - 3)  # a task does its slices one after another
     schema = "slice long, fingerprints binary"
 
     def emit(batches):
@@ -168,7 +169,7 @@ def ball_links(distinct: DataFrame, max_distance: int) -> DataFrame:
         if parts:
             yield done(own, parts)
 
-    spread = distinct.select("fingerprint").mapInArrow(emit, schema).repartition(1 << bits, "slice").sortWithinPartitions("slice")
+    spread = distinct.select("fingerprint").mapInArrow(emit, schema).repartition(tasks, "slice").sortWithinPartitions("slice")
     return spread.mapInArrow(link, "a long, b long").distinct()
 
 
