@@ -1,5 +1,8 @@
 """Registered queries: SQL where there is some, and the pipeline's stages, on the smallest tables."""
 
+import os
+import sys
+
 import duckdb
 import pytest
 
@@ -7,6 +10,9 @@ import __spark_entry__ as E
 import corpus_pipeline
 from flowsieve.llm import queries
 
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(E.__file__)), "tools"))
+from oracle_check import rows_of  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -20,9 +26,9 @@ def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    want = con.execute(queries.ORACLE[name]).df()
-    got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
-    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, want.to_numpy().tolist()))
+    columns, want = rows_of(con.execute(queries.ORACLE[name]).df())
+    names, got = rows_of(queries.QUERIES[name](spark, SF).toPandas())
+    assert names == columns and sorted(map(repr, got)) == sorted(map(repr, want))
 
 
 def test_pipeline_stages(spark):
