@@ -216,6 +216,16 @@ def test_pii_terms_that_disclose(spark):
     assert df.columns == pii.sanitise(df).columns
 
 
+def test_pii_sanitise_covers_the_whole_text(spark):
+    far = " ".join(["plain"] * 60)
+    texts = [f"Zorblatt writes {far} é😀 jo@mail.com and 10.0.0.1 {far} yours, ZORBLATT of Quendor" for _ in range(3)]
+    texts += [f"plain writes and yours of {prose(random.Random(i), 20)}" for i in range(200)]
+    clean = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows_of([*texts, texts[0]]), SCHEMA)).collect()}
+    for i in range(3):
+        assert clean[i].text == f" writes {far} é😀 [EMAIL] and [IP] {far} yours,  of " and clean[i].n_chars == len(clean[i].text)
+    assert clean[50].text == texts[50]
+
+
 def test_long_runs_stay_linear(spark):
     texts = ["a" * 200_000, "1" * 200_000, "1.2." * 50_000, "+1" + "(" * 100_000, "a@" * 50_000, "1 " * 100_000]
     got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
