@@ -100,7 +100,8 @@ def _filled_packets(spark, sf_dir):
 
 def _packet_stream(spark, sf_dir):
     """Parsed packets with their record time, arriving in three deliveries of several files each: a
-    function that runs a stream once after each of them."""
+    function that runs a stream once after each of them. The files of a delivery are in no order of time, so
+    each delivery is one micro-batch, however many files it has."""
     src = scratch_path(spark, "packet-stream")
     pk = _filled_packets(spark, sf_dir).withColumn("ts", F.col("record_ts").cast("timestamp"))
     path = scratch_path(spark, "packets-filled")
@@ -112,7 +113,7 @@ def _packet_stream(spark, sf_dir):
     def deliver(run):
         for part in range(3):
             pk.where(at == part).write.mode("append").parquet(src)
-            run(spark.readStream.schema(pk.schema).option("maxFilesPerTrigger", 1000).parquet(src))
+            run(spark.readStream.schema(pk.schema).parquet(src))
     return deliver
 
 

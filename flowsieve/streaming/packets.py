@@ -51,12 +51,17 @@ def telemetry_join(pps: DataFrame, telemetry: DataFrame, ts: str = "ts") -> Data
 
 # ------------------------------------------------------------------ streaming forms
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """``events`` as a file stream (the parquet file is picked out of the folder by glob);
-    the NTZ timestamp is cast to a session-zone timestamp so watermarks accept it."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    s = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-         .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
+def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """``events`` as a file stream (a single file or a folder of files: a glob that matches only it takes
+    both); the NTZ timestamp is cast to a session-zone timestamp so watermarks accept it.
+
+    What is there is one micro-batch: files in any order of time never meet the watermark of files
+    read before them. ``max_files_per_trigger`` is for files that arrive in order of time."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    s = reader.parquet(path[:-1] + "[t]")
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
