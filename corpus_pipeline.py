@@ -1,6 +1,6 @@
 """Corpus pipeline over ``documents``: toxic documents go, one document of each near-duplicate group
 stays, personal data is masked, sources are mixed to their target weights, and what is left is
-encoded. Every stage is written as Parquet in the shared folder and read again by the next."""
+encoded and decoded again. Every stage is written as Parquet in the shared folder and read again by the next."""
 
 from __future__ import annotations
 
@@ -34,10 +34,10 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of the texts, and their number."""
+    """Token ids in place of the texts, the tokenizer's decoded form of them, and the number of ids."""
     import public_tokenizers
 
-    tokens = bpe.encode_documents(docs.select("doc_id", "text", "lang", "source", "n_chars"), public_tokenizers.path(TOKENIZER))
+    tokens = bpe.encode_documents(docs.select("doc_id", "text", "lang", "source", "n_chars"), public_tokenizers.path(TOKENIZER), decoded=True)
     return tokens.withColumn("n_tokens", F.size("ids").cast("long"))
 
 

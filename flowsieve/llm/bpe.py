@@ -209,13 +209,20 @@ def _mapped(df: DataFrame, column: str, fields: list[tuple[str, str, pa.DataType
     return df.mapInArrow(run, schema)
 
 
-def encode_documents(docs: DataFrame, path: str, text_col="text") -> DataFrame:
-    """``docs`` with ``ids`` (array of token ids) in place of the text. Null and empty texts give
+def encode_documents(docs: DataFrame, path: str, text_col="text", decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` (array of token ids) in place of the text and, if asked for, ``decoded``:
+    what ``decode_documents`` makes of the ids, in the same pass. Null and empty texts give
     no tokens; very long texts are encoded whole; all other columns stay, but one named ``ids``
     gives way."""
     sealed = Sealed(docs)
     text = sealed.column(text_col)
-    return sealed.open(_mapped(sealed.df, text, [("ids", "array<int>", pa.list_(pa.int32()))], lambda t: (loaded(path).encode(t),)), "ids", without=(text,))
+    fields = [("ids", "array<int>", pa.list_(pa.int32())), ("decoded", "string", pa.string())][:1 + decoded]
+
+    def coded(value):
+        t = loaded(path)
+        ids = t.encode(value)
+        return (ids, t.decode_bytes(ids).decode("utf-8")) if decoded else (ids,)
+    return sealed.open(_mapped(sealed.df, text, fields, coded), *[n for n, _, _ in fields], without=(text,))
 
 
 def decode_documents(tokens: DataFrame, path: str, ids_col="ids") -> DataFrame:

@@ -45,6 +45,13 @@ def test_pipeline_stages(spark):
     assert out.where("n_tokens <> size(ids)").count() == 0
 
 
+def test_pipeline_decodes_what_it_encodes(spark):
+    docs = spark.createDataFrame([(1, "one two é😀", "en", "a", 10), (2, None, "en", "a", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs, SF).collect()}
+    # the tokenizer's file names no decoder: token texts joined by spaces
+    assert out[1].decoded.startswith("one</w> two</w> ") and len(out[1].ids) == out[1].n_tokens > 0 and out[2].decoded == ""
+
+
 @pytest.mark.parametrize("rows", ["none", "awkward"])
 def test_pipeline_stages_on_awkward_rows(spark, rows):
     """Nulls in every column, empty texts, ties, repeated rows, no rows: each stage returns rows of
