@@ -24,15 +24,17 @@ PIECE = 1 << 18  # bytes that pass through the filters at a time
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col="doc_id", text_col="text",
                     where=None) -> list[tuple[str, int]]:
-    """At most ``max_rows`` (text, 0/1) of labelled documents, by a hash of the id; rows with a null
-    label, id or text are left out. Sent to the driver: ``max_rows`` bounds it."""
+    """At most ``max_rows`` (text, 0/1) of labelled documents, by a hash of the id, and of the id and
+    text where ids repeat; rows with a null label, id or text are left out, and repeated rows count once.
+    Sent to the driver: ``max_rows`` bounds it."""
     rows = pick(labels, _id=id_col, _y=label).where("_id is not null and _y is not null")
     rows = rows if where is None else rows.where(where(F.col("_id")))
     rows = rows.groupBy("_id").agg(F.max("_y").cast("int").alias("_y"))
     rows = rows.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     found = pick(docs, _i=id_col, _t=text_col).where("_t is not null")
-    found = found.join(F.broadcast(rows), F.col("_i") == F.col("_id")).select("_i", "_t", "_y").collect()
-    return [(r._t, r._y) for r in sorted(found, key=lambda r: (r._i, r._t))[:max_rows]]
+    found = found.join(F.broadcast(rows), F.col("_i") == F.col("_id")).select("_i", "_t", "_y").distinct()
+    found = found.orderBy(F.xxhash64("_i", "_t"), "_i", "_t").limit(max_rows).collect()
+    return [(r._t, r._y) for r in sorted(found, key=lambda r: (r._i, r._t))]
 
 
 def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -232,6 +232,14 @@ def test_long_runs_stay_linear(spark):
     assert got[2].n_ip == 25_000 and got[0].n_email == 0 and got[5].n_card == 0
 
 
+def test_labelled_sample_is_cut_before_it_is_collected(spark):
+    """A repeated row counts once and keeps no sampled row out."""
+    df = spark.createDataFrame(rows_of(["hot"] * 50 + [f"t{i}" for i in range(1, 10)]), SCHEMA)
+    df = df.withColumn("doc_id", F.when(F.col("text") == "hot", 0).otherwise(F.col("doc_id") - 49))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    assert quality.labelled_sample(df, labels, "quality", 10) == [("hot", 0), *[(f"t{i}", i % 2) for i in range(1, 10)]]
+
+
 # --- 5: toxicity
 
 def test_toxicity_chain(spark, awkward, empty):
