@@ -23,7 +23,6 @@ from flowsieve.llm.common import pick, stored
 
 BLOCK_ROWS = 1 << 16
 BATCH_QUERIES = 64
-LARGEST = 1 << 27  # components beyond +-this are clamped, which keeps scores within 64 bits
 
 
 def slices_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,14 +30,14 @@ def slices_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     all dims stand one after the other, least significant slice first."""
     n, dims = x.shape
     low = x.min(axis=0) if n else np.zeros(dims, np.int64)
-    y = x - low
+    y = x.astype(np.int64).view(np.uint64) - low.astype(np.int64).view(np.uint64)  # exact also where the range takes 64 bits
     width = np.array([int(m).bit_length() for m in (y.max(axis=0) if n else low)], np.int64)
     words = -(-n // 64)
     maps = np.zeros((int(width.sum()), words * 8), np.uint8)
     at = 0
     for d in range(dims):
         for b in range(int(width[d])):
-            bits = np.packbits((y[:, d] >> b & 1).astype(bool), bitorder="little")
+            bits = np.packbits((y[:, d] >> np.uint64(b) & np.uint64(1)).astype(bool), bitorder="little")
             maps[at, :len(bits)] = bits
             at += 1
     return low, width, maps.view(np.uint64)
@@ -110,17 +109,22 @@ def block_top(q: np.ndarray, own: np.ndarray, low, width, maps, n: int, k: int):
     allowed = np.packbits(allowed, bitorder="little").view(np.uint64)
     rows = select_top(slices, allowed, k)
     # complemented components count (2^width - 1) - y
-    base = int(np.dot(q, low)) - sum(int(-v) * ((1 << int(w)) - 1) for v, w in zip(q, width, strict=True) if v < 0)
+    base = sum(int(v) * int(x) for v, x in zip(q, low, strict=True)) - sum(int(-v) * ((1 << int(w)) - 1) for v, w in zip(q, width, strict=True) if v < 0)
     scores = [base + sum(int(s[r >> 6] >> np.uint64(r & 63)) % 2 << i for i, s in enumerate(slices)) for r in rows.tolist()]
     return rows, scores
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, dims, vector long[]): floor(scale * x); vectors that are null or hold null or
-    non-finite components are left out."""
+    non-finite components are left out. A component that leaves 64 bits is an error."""
     df, v = pick(df, id=id_col, v=vector_col), F.col("v")
     finite = F.forall(v, lambda x: F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False)))
-    whole = F.transform(v, lambda x: F.floor(F.greatest(F.lit(-1.0 * LARGEST), F.least(F.lit(1.0 * LARGEST), F.lit(float(scale)) * x.cast("double")))).cast("long"))
+
+    def floored(x):
+        y = F.lit(float(scale)) * x.cast("double")
+        fits = (y >= F.lit(-2.0 ** 63)) & (y < F.lit(2.0 ** 63))
+        return F.when(fits, F.floor(y).cast("long")).otherwise(F.raise_error(F.lit("vector component leaves 64 bits")).cast("long"))
+    whole = F.transform(v, floored)
     return df.where(F.coalesce(finite, F.lit(False))).select(F.col("id").cast("long"), F.size(v).alias("dims"), whole.alias("vector"))
 
 
@@ -165,7 +169,8 @@ def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col="
     products of ``floor(scale * x)`` over all rows but those with its own id; ties to the smaller
     id, null ids last (a null id is a candidate, not a query). Only vectors of equal length are
     compared. Rows that repeat an id are candidates each and, as queries, count once per distinct
-    vector. No rows give no rows; other columns play no part."""
+    vector. A component or one of these scores that leaves 64 bits is an error. No rows give no rows; other
+    columns play no part."""
     rows = quantised(vectors, id_col, vector_col, scale).groupBy("id", "dims", "vector").agg(F.count(F.lit(1)).alias("copies"))
     # of equal rows, only k can be among the best k
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("copies"), F.lit(k).cast("long"))))

@@ -168,6 +168,16 @@ def test_top_k_equals_brute_force(spark):
     assert bitsliced.top_inner_products(df.limit(0)).collect() == []
 
 
+def test_top_inner_products_of_large_components(spark):
+    far = float(1 << 54)
+    df = spark.createDataFrame([(0, [1 / 256, 0.0]), (1, [far, 1.0]), (2, [-far, 1.0]), (3, [2 * far - 4, 1.0]), (4, [600_000.0, 1.0])],
+                               "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in bitsliced.top_inner_products(df).orderBy("rank").collect()]
+    assert got == [(i, int(256 * x)) for i, x in ((3, 2 * far - 4), (1, far), (4, 600_000), (2, -far))]
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        bitsliced.top_inner_products(df.union(spark.createDataFrame([(5, [4 * far, 1.0])], df.schema))).collect()
+
+
 # --- 4: PII
 
 def luhn(d):
