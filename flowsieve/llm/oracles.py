@@ -89,3 +89,43 @@ by_doc AS (SELECT r, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n
 SELECT doc_id, CAST(coalesce(n1, 0) AS BIGINT) AS n_email, CAST(coalesce(n2, 0) AS BIGINT) AS n_ip, CAST(coalesce(n3, 0) AS BIGINT) AS n_card,
        CAST(coalesce(n4, 0) AS BIGINT) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
 FROM d LEFT JOIN by_doc USING (r)"""
+
+
+def collocations(least: int = 30, share: int = 80, top: int = 2000) -> str:
+    """Every phrase spelled out and counted by its text."""
+    phrase = " UNION ALL ".join(f"SELECT lang, array_to_string(w[i:i + {k - 1}], ' ') AS phrase, {k} AS k FROM (SELECT lang, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM p WHERE len(w) >= {k})"
+                                for k in range(1, 5))
+    cut = "SELECT lang, phrase, a, w, unnest(range(1, len(w))) AS cut FROM (SELECT *, string_split(phrase, ' ') AS w FROM cand)"
+    sub = " UNION ALL ".join(f"SELECT lang, a AS longer, array_to_string(w[i:i + {m - 1}], ' ') AS phrase FROM (SELECT lang, a, w, unnest(range(1, len(w) - {m} + 2)) AS i FROM "
+                             f"(SELECT *, string_split(phrase, ' ') AS w FROM cand WHERE k > {m}))" for m in (2, 3))
+    return rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+sizes AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, phrase, k, count(*) AS a FROM ({phrase}) GROUP BY ALL HAVING count(*) >= {least}),
+cand AS (SELECT * FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest FROM ({cut})),
+scored AS (SELECT c.lang, c.phrase, c.a, cut, h.a AS l, r.a AS r, (2000000 * c.a::HUGEINT) // (h.a::HUGEINT + r.a::HUGEINT) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.rest),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS i FROM scored) WHERE i = 1),
+inside AS (SELECT lang, phrase, max(longer) AS longer FROM ({sub}) GROUP BY ALL),
+ranked AS (SELECT low.*, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank FROM low LEFT JOIN inside i ON i.lang = low.lang AND i.phrase = low.phrase
+  WHERE longer IS NULL OR 100 * longer::HUGEINT < {share} * a::HUGEINT)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN sizes USING (lang) WHERE rank <= {top}"""
+
+
+def ranked_search(k: int = 20) -> str:
+    terms = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS w FROM documents),
+totals AS (SELECT count(*) AS documents, sum(len(w)) AS terms FROM d WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({terms}) AS term FROM benchmark) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM df, totals),
+m AS (SELECT r, doc_id, 75 + (25 * len(w) * documents) // CAST(terms AS BIGINT) AS m FROM d, totals WHERE len(w) > 0),
+s AS (SELECT item_id, r, doc_id, CAST(sum(times * weights.w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN weights USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= {k}"""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from flowsieve.llm import bitsliced, bpe, licenses, mixing, oracles, parsing, pii, quality, simhash, suffixes, toxicity
+from flowsieve.llm import (bitsliced, bpe, collocations, language, licenses, maxsketch, mixing, oracles, parsing, pii, quality,
+                           simhash, suffixes, toxicity)
 from flowsieve.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -83,3 +84,24 @@ def op5_toxicity_chain(spark, sf_dir):
 @query
 def op1_suffix_dedup(spark, sf_dir):
     return suffixes.dedup(documents(spark, sf_dir))
+
+
+@query
+def op11_language_id(spark, sf_dir):
+    return language.identify(documents(spark, sf_dir))
+
+
+@query
+def op12_phrase_collocations(spark, sf_dir):
+    return collocations.mine(documents(spark, sf_dir))
+
+
+ORACLE["op12_phrase_collocations"] = oracles.collocations()
+
+
+@query
+def op13_max_sketch_search(spark, sf_dir):
+    return maxsketch.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_max_sketch_search"] = oracles.ranked_search()
