@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.functions.util import qcol
+from flowsieve.functions.util import md5_u32, qcol
 from flowsieve.operators import metrics as M
 from flowsieve.operators import reports as R
 from flowsieve.operators import stats as ST
@@ -72,14 +72,28 @@ def q_dtype_override(spark, sf_dir):
     return df.select("Flow ID", "SimillarHTTP", "Protocol")
 
 
+CHUNK_ROWS = 1000  # rows of a chunk; the tables here have some thousand rows a file
+
+
+def _ordered_csv(spark, sf_dir, *columns, line_breaks: bool = False):
+    """One folder of part files for each source file, its rows in the order of their ids."""
+    path = scratch_path(spark, "flows-ordered")
+    f = flows(spark, sf_dir).select("source_file", "Flow ID", *columns)
+    if line_breaks:
+        f = f.withColumn("SimillarHTTP", F.when(md5_u32(F.col("Flow ID")) % 3 == 0, F.lit('GET /\n"Host": a, b')).otherwise(F.col("SimillarHTTP")))
+    f = f.repartitionByRange("source_file", "Flow ID").sortWithinPartitions("source_file", "Flow ID")
+    FS.write_flow_csv(f.select("Flow ID", *columns, "source_file"), path, partition_by="source_file")
+    return path
+
+
 @register("scan_chunked", sql(FLOWS_SQL, body=f"""
-SELECT {_stem_sql()} AS file, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT chunk_id) AS BIGINT) AS chunks
-FROM flows GROUP BY 1"""))
+SELECT file, "Flow ID", "SimillarHTTP", position, CAST(position // {CHUNK_ROWS} AS INTEGER) AS chunk_id FROM (
+  SELECT {_stem_sql()} AS file, "Flow ID", CASE WHEN crc = 0 THEN 'GET /' || chr(10) || '"Host": a, b' ELSE "SimillarHTTP" END AS "SimillarHTTP",
+         CAST(row_number() OVER (PARTITION BY source_file ORDER BY "Flow ID") - 1 AS BIGINT) AS position FROM (SELECT *, {sqlgen.md5_u32('"Flow ID"')} % 3 AS crc FROM flows))"""))
 def q_scan_chunked(spark, sf_dir):
-    # Spark cuts files into splits of the session's size; totals must not depend on the cuts
-    df = FS.read_flow_csv(spark, _flows_csv(spark, sf_dir))
-    return df.groupBy(FS.file_stem().alias("file")).agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
-                                                        F.countDistinct("chunk_id").cast("bigint").alias("chunks"))
+    """Chunks of consecutive rows of each file; some rows hold line breaks in quotes."""
+    df = FS.read_flow_csv(spark, _ordered_csv(spark, sf_dir, "SimillarHTTP", line_breaks=True), multiline=True, positions=True)
+    return FS.with_chunks(df, CHUNK_ROWS).select(FS.file_stem().alias("file"), "Flow ID", "SimillarHTTP", "position", "chunk_id")
 
 
 @register("label_from_filename", sql(FLOWS_SQL, body=f"""
@@ -97,7 +111,7 @@ def q_label_from_filename(spark, sf_dir):
 @register("rows_per_file", sql(FLOWS_SQL, body=f"""
 SELECT {_stem_sql()} AS file, CAST(count(*) AS BIGINT) AS rows FROM flows GROUP BY 1"""))
 def q_rows_per_file(spark, sf_dir):
-    return FS.rows_per_file(FS.read_flow_csv(spark, _flows_csv(spark, sf_dir, line_breaks=True), multiline=True))
+    return FS.count_per_file(spark, _flows_csv(spark, sf_dir, line_breaks=True))
 
 
 HEAD_N = 5000
@@ -107,8 +121,8 @@ HEAD_N = 5000
 SELECT file, "Flow ID" FROM (SELECT {_stem_sql()} AS file, "Flow ID",
   row_number() OVER (PARTITION BY source_file ORDER BY "Flow ID") AS r FROM flows) WHERE r <= {HEAD_N}"""))
 def q_head_per_file(spark, sf_dir):
-    df = FS.read_flow_csv(spark, _flows_csv(spark, sf_dir)).select("Flow ID", "file_path")
-    return FS.head_per_file(df, HEAD_N, ["Flow ID"]).select(F.col("_file").alias("file"), "Flow ID")
+    df = FS.head_rows(spark, _ordered_csv(spark, sf_dir, "Label"), HEAD_N)
+    return df.select(FS.file_stem().alias("file"), "Flow ID")
 
 
 @register("scan_parquet", sql(FLOWS_SQL, body="""
@@ -122,11 +136,11 @@ def q_scan_parquet(spark, sf_dir):
 
 @register("scan_stream", sql(FLOWS_SQL, body='SELECT "Flow ID", "Label", "Packets" FROM flows'))
 def q_scan_stream(spark, sf_dir):
-    from flowsieve.streaming.flows import stream_flow_csv_to_parquet
+    from flowsieve.streaming.flows import read_output, stream_flow_csv_to_parquet
     src = _flows_csv(spark, sf_dir)
     out = stream_flow_csv_to_parquet(spark, src, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt"),
                                      ["Flow ID", "Label", "Packets"])
-    return spark.read.parquet(out)
+    return read_output(spark, out)
 
 
 def _wholetext_sql(where=""):

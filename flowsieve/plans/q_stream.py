@@ -221,7 +221,7 @@ def q_windowed_counts_stream(spark, sf_dir):
 def q_score_stream(spark, sf_dir):
     """Fit NB in batch on the train split; score the test split as a stream of flow CSV files."""
     from flowsieve.plans.q_io import _flows_csv
-    from flowsieve.streaming.flows import score_stream
+    from flowsieve.streaming.flows import read_output, score_stream
 
     prep = prepared_flows(spark, sf_dir)
     train, _test = split_two(prep, "flow_id", 25)
@@ -229,4 +229,4 @@ def q_score_stream(spark, sf_dir):
     out = score_stream(spark, _flows_csv(spark, sf_dir, complete=True), lambda s: split_two(prepare(s), "flow_id", 25)[1],
                        lambda d: model.transform(scaler.transform(d), out="p").select("flow_id", "y", "p"),
                        scratch_path(spark, "score-out"), scratch_path(spark, "score-ckpt"))
-    return spark.read.parquet(out)
+    return read_output(spark, out)

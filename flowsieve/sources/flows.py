@@ -2,7 +2,8 @@
 
 CSV headers of flow exports are padded with spaces, may repeat, and differ from file to file in
 order and set: files are grouped by header and joined by column name. Types are never inferred;
-columns are cast by name from an explicit type map in one projection.
+columns are cast by name from an explicit type map in one projection. Where records start and which row
+of its file each is (quoted line breaks, chunks by row, first rows of a file) is found in ``records``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from flowsieve.functions.labels import map_label
 from flowsieve.functions.util import qcol
 from flowsieve.operators.clean import unparseable_counts
+from flowsieve.sources.records import count_rows, csv_files, first_lines, literal_path, positioned, records, stored
 
 # Explicit types by (trimmed) name; a column without one stays text unless asked for.
 FLOW_TYPES = {
@@ -37,21 +39,26 @@ def unique_names(header: list[str]) -> list[str]:
     return out
 
 
-def file_headers(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
-    """(trimmed unique column names, files that have them), for each header that occurs.
+def file_headers(spark: SparkSession, path) -> list[tuple[list[str], list[str]]]:
+    """(trimmed unique column names, files that have them), for each header that occurs under a folder or
+    glob, or in a list of files.
 
-    The first line of every file is found by the executors (a line scan without CSV parsing); the
-    driver gets one row per file, as it does from any file listing."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("pos"), "value")
-    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "pos").alias("header"))
+    Each file's first line is read by a task that stops there; the driver gets one row a file, as it does
+    from any file listing."""
+    files = csv_files(spark, path) if isinstance(path, str) else list(path)
     groups: dict[str, list[str]] = {}
-    for r in first.orderBy("file").collect():
-        groups.setdefault(r.header, []).append(r.file)
+    for frame in first_lines(spark, files, 1):
+        for r in sorted(frame.collect(), key=lambda r: r.file):
+            groups.setdefault(r.value, []).append(r.file)
     return [(unique_names(next(csv.reader([h]))), files) for h, files in groups.items()]
 
 
+def parsed(rows: DataFrame, names: list[str], *keep: str) -> DataFrame:
+    """CSV records in ``value`` as text columns, and the columns ``keep``."""
+    fields = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(names))))
+    return rows.select(*keep, fields.alias("_r")).select(*keep, *[F.col(f"_r.c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def typed(df: DataFrame, types: dict, string_columns=(), undeclared: str = "text") -> DataFrame:
     """Text columns cast by name; columns without a declared type stay text, or become double where
     every value parses (``undeclared="numeric"``: one more pass over them)."""
@@ -66,24 +73,50 @@ def typed(df: DataFrame, types: dict, string_columns=(), undeclared: str = "text
     return df.select(*out)
 
 
-def read_flow_csv(spark: SparkSession, path: str, types: dict | None = None, string_columns=(), undeclared: str = "text",
-                  multiline: bool = False) -> DataFrame:
-    """Flow CSVs of a directory or glob, joined BY COLUMN NAME, plus ``file_path``.
+def read_flow_csv(spark: SparkSession, path, types: dict | None = None, string_columns=(), undeclared: str = "text",
+                  multiline: bool = False, positions: bool = False) -> DataFrame:
+    """Flow CSVs of a directory, glob or list of files, joined BY COLUMN NAME, plus ``file_path``.
 
     Files may differ in the order and set of their columns: each distinct header is one scan with
     that header's schema, and the scans are united by name (absent columns are null). Names are
-    trimmed and made unique; types come from the declared map, never from inference. Quoted line
-    breaks need ``multiline`` (such files are not split)."""
+    trimmed and made unique; types come from the declared map, never from inference. ``multiline``: quoted
+    fields may hold line breaks; such files stay split. ``positions`` adds ``position``, the 0-based row
+    of the logical file (a plain file, or a folder ``<name>.csv`` of part files); the rows are written once in
+    the shared folder, so that the numbers hold."""
     types = dict(FLOW_TYPES, **(types or {}))
     df = None
     for names, files in file_headers(spark, path):
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        part = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multiline).csv(files)
-        part = part.select(*[qcol(c) for c in part.columns], F.col("_metadata.file_path").alias("file_path"))
+        if multiline or positions:
+            rows = parsed(records(spark, files, multiline), names, "file", "block", "at")
+            rows = positioned(stored(rows, "flow-records"), F.regexp_extract("file", LOGICAL_FILE, 1)).withColumnRenamed("file", "file_path")
+            part = rows if positions else rows.drop("position")
+        else:
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+            part = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv([literal_path(f) for f in files])
+            part = part.select(*[qcol(c) for c in part.columns], F.col("_metadata.file_path").alias("file_path"))
         df = part if df is None else df.unionByName(part, allowMissingColumns=True)
     if df is None:
         raise FileNotFoundError(f"no CSV files under {path}")
-    return typed(df, types, string_columns, undeclared)
+    return typed(df, dict(types, position="bigint") if positions else types, string_columns, undeclared)
+
+
+def with_chunks(df: DataFrame, rows: int, position: str = "position") -> DataFrame:
+    """``chunk_id``: the chunk of ``rows`` consecutive rows of its file that a row belongs to."""
+    return df.withColumn("chunk_id", F.expr(f"`{position}` div {int(rows)}").cast("int"))
+
+
+def head_rows(spark: SparkSession, path, n: int, types: dict | None = None, string_columns=()) -> DataFrame:
+    """The first ``n`` rows of every logical file, in file order, with ``position``. A file is read up to its
+    n-th row and no further; a quoted line break ends a row here."""
+    types, df = dict(FLOW_TYPES, position="bigint", **(types or {})), None
+    for names, files in file_headers(spark, path):
+        for frame in first_lines(spark, files, n + 1):
+            rows = stored(parsed(frame.withColumn("block", F.lit(0).cast("bigint")), names, "file", "block", "at"), "flow-heads")
+            df = rows if df is None else df.unionByName(rows, allowMissingColumns=True)
+    if df is None:
+        raise FileNotFoundError(f"no CSV files under {path}")
+    df = positioned(df, F.regexp_extract("file", LOGICAL_FILE, 1)).where(F.col("position") < n)
+    return typed(df.withColumnRenamed("file", "file_path"), types, string_columns)
 
 
 def write_flow_csv(df: DataFrame, path: str, pad: str = " ", partition_by: str | None = None) -> None:
@@ -97,6 +130,7 @@ def write_flow_csv(df: DataFrame, path: str, pad: str = " ", partition_by: str |
 
 
 FILE_STEM_PATTERN = r"([^/=]+?)\.csv(?:/|$)"
+LOGICAL_FILE = r"^(.*?\.csv)(?:/|$)"  # a file, or the folder of its part files
 
 
 def file_stem(path_col="file_path"):
@@ -118,6 +152,11 @@ def rows_per_file(df: DataFrame, path_col: str = "file_path") -> DataFrame:
     return df.groupBy(file_stem(path_col).alias("file")).agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
 
 
+def count_per_file(spark: SparkSession, path) -> DataFrame:
+    """(file, rows) from the files themselves, line breaks in quotes respected; nothing is parsed."""
+    return count_rows(spark, csv_files(spark, path)).groupBy(file_stem("file").alias("file")).agg(F.sum("rows").cast("bigint").alias("rows"))
+
+
 def head_per_file(df: DataFrame, n: int, order_cols: list[str], path_col: str = "file_path") -> DataFrame:
     """First ``n`` rows of every file by ``order_cols``, at any ``n``.
 
