@@ -209,3 +209,55 @@ def test_diff_within_group(spark):
     df = spark.createDataFrame([("knn", f"f{c}", c) for c in chunks[::-1]], "model string, file string, n int")
     out = ST.diff_within_group(df, "model", ["n", "file"], "n", "d").orderBy("n").collect()
     assert [r.d for r in out] == [13, 3, 6, 5, 5, 9, 5, 5, 1, 150]
+
+
+def _knn_by_hand(q, t, ids, k):
+    out = []
+    for x in q:
+        d = np.sqrt(((t - x) ** 2).sum(axis=1))
+        out.append([int(ids[i]) for i in np.lexsort((ids, d))[:k]])
+    return out
+
+
+@pytest.mark.parametrize("dims,k,cell", [(1, 3, 5), (2, 4, 16), (9, 7, 30), (40, 5, 25)])
+def test_knn_pruning_keeps_every_neighbour(spark, dims, k, cell):
+    """Clusters, a third of the rows equal, ties on a grid, far queries, blocks of a few rows."""
+    rng = np.random.default_rng(dims)
+    t = np.concatenate([rng.integers(0, 4, (150, dims)).astype(float), np.full((150, dims), 2.0), rng.normal(50, 0.01, (100, dims)), rng.normal(0, 30, (50, dims))])
+    q = np.concatenate([t[::9], rng.integers(-1, 5, (30, dims)).astype(float), rng.normal(0, 200, (10, dims))])
+    train = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(t)], "id long, v array<double>, label int").repartition(3)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id long, v array<double>").repartition(3)
+    got = {}
+    for r in knn.knn_neighbors(asked, train, k, "id", "v", "label", block_rows=cell).collect():
+        got.setdefault(r.qid, {})[r.rank] = r.tid
+    assert [[got[i][j + 1] for j in range(k)] for i in range(len(q))] == _knn_by_hand(q, t, np.arange(len(t)), k)
+
+
+def test_knn_on_awkward_rows(spark):
+    schema = "id long, v array<double>, label int"
+    train = spark.createDataFrame([(1, [0.0, 0.0], 1), (2, [1.0, 0.0], 2), (3, None, 3), (4, [float("nan"), 0.0], 3), (5, [float("inf"), 0.0], 3), (6, [0.0], 3)], schema)
+    q = spark.createDataFrame([(7, [0.1, 0.0], 0), (7, [0.1, 0.0], 0), (8, None, 0), (9, [1.0, None], 0)], schema)
+    out = sorted((r.qid, r.rank, r.tid) for r in knn.knn_neighbors(q, train, 5, "id", "v", "label").collect())
+    assert out == [(7, 1, 1), (7, 1, 1), (7, 2, 2), (7, 2, 2)]
+    assert knn.knn_neighbors(q, train.limit(0), 5, "id", "v", "label").collect() == []
+
+
+def test_knn_sends_queries_in_proportion_to_the_rows(spark, monkeypatch):
+    """Twice the rows and queries: about twice the (query, block) visits, not four times."""
+    visits = []
+    routes = knn._routes
+
+    def counted(queries, cells, dims, k, count=False):
+        out = routes(queries, cells, dims, k, count)
+        if count:
+            visits.append(out.agg(F.sum("n")).first()[0] or 0)
+        return out
+    monkeypatch.setattr(knn, "_routes", counted)
+    rng = np.random.default_rng(1)
+    sums = []
+    for n in (4000, 8000):
+        rows = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(n, 2)).tolist())], "id long, v array<double>").withColumn("label", F.lit(0))
+        visits.clear()
+        assert knn.knn_neighbors(rows.where("id % 4 = 0"), rows, 5, "id", "v", "label", block_rows=50).count() == 5 * n // 4
+        sums.append(sum(visits))
+    assert sums[0] < 4000 // 4 * 8 and sums[1] < 2.6 * sums[0]
