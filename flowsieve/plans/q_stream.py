@@ -8,6 +8,8 @@ grows with the table.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from flowsieve.operators import naive_bayes as nb
@@ -19,6 +21,7 @@ from flowsieve.plans.registry import register
 from flowsieve.session import scratch_path
 from flowsieve.sources import packet_log as PL
 from flowsieve.streaming import packets as SP
+from flowsieve.streaming import running as SR
 
 TYPES = ["click", "view", "purchase", "signup", "error"]
 PORTS = {"click": 80, "view": 443, "purchase": 8443, "signup": 53, "error": 123}
@@ -173,11 +176,10 @@ SELECT window_start, packets, CAST(sum(packets) OVER (ORDER BY window_start ROWS
        AND CURRENT ROW) AS BIGINT) AS cumulative
 FROM (SELECT date_trunc('hour', record_ts) AS window_start, CAST(count(*) AS BIGINT) AS packets FROM pk GROUP BY 1)"""))
 def q_cumulative_counts(spark, sf_dir):
-    """Running totals of the streamed hourly counts."""
+    """Hourly counts and running totals, kept by the stream itself over three deliveries of the log."""
     out, ckpt = scratch_path(spark, "hours-out"), scratch_path(spark, "hours-ckpt")
-    _packet_stream(spark, sf_dir)(lambda s: SP.packets_per_window_stream(s, out, ckpt, "1 hour"))
-    counts = SP.latest_windows(spark, out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-    return SP.cumulative_counts(counts)
+    _packet_stream(spark, sf_dir)(lambda s: SR.running_totals_stream(s, out, ckpt, "1 hour"))
+    return SP.latest_windows(spark, out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @register("telemetry_join", sql(PACKETS_SQL, body="""
@@ -185,8 +187,23 @@ SELECT date_trunc('second', record_ts) AS second, CAST(count(*) AS BIGINT) AS pp
        CAST((count(*) * 37) % 1000 AS DOUBLE) / 10 AS cpu, CAST(sum(ttl) % 1000 AS DOUBLE) / 10 AS ram
 FROM pk GROUP BY date_trunc('second', record_ts)"""))
 def q_telemetry_join(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
-    return SP.telemetry_join(PL.parse_pps(lines), PL.parse_headers(lines))
+    """Stream-stream join over three deliveries of the log as text; a heartbeat record closes the last seconds."""
+    src, out, ckpt = (scratch_path(spark, f"telemetry-{n}") for n in ("log", "out", "ckpt"))
+    lines = packet_lines(spark, sf_dir)
+    at = F.col("minute").cast("timestamp").cast("double")
+    seconds = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").cast("double").alias("t"))
+    found = seconds.agg(F.percentile_approx("t", [1 / 3, 2 / 3]).alias("cuts"), F.max("t").alias("last")).first()
+    low, high = found.cuts or [0.0, 0.0]
+    part = F.when(at < low, 0).when(at < high, 1).otherwise(2)
+    beat = dt.datetime.fromtimestamp(found.last or 0.0, dt.timezone.utc) + dt.timedelta(days=1)
+    beats = spark.createDataFrame([(f"{beat:%Y-%m-%d %H:%M:%S},{ms} - {text}",) for ms, text in (
+        ("123", "Batch processed 0 packets. CPU: 0.0%, RAM: 0.0%"), ("130", "Packets received in last second: 0"))], "line string")
+    for delivery in (lines.where(part == 0), lines.where(part == 1), lines.where(part == 2), beats):
+        delivery.select("line").write.mode("append").text(src)
+        # one micro-batch a delivery: its files are in no order of time
+        log = [spark.readStream.schema("value string").text(src).withColumnRenamed("value", "line") for _ in range(2)]
+        SR.telemetry_join_stream(PL.parse_pps(log[0]), PL.parse_headers(log[1]), out, ckpt)
+    return spark.read.parquet(out).drop("batch").withColumn("second", F.col("second").cast("timestamp_ntz"))
 
 
 @register("packets_by_attack_window", sql(PACKETS_SQL, body="""

@@ -22,6 +22,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.parquet.filterPushdown": "true",
     # Flow tables are wide; a whole-stage method above the JVM's 8000-byte JIT limit runs
     # interpreted (5x slower here). Fall back to per-operator codegen instead.
@@ -32,6 +33,8 @@ _DEFAULTS = {
 RUNTIME_SQL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Rows that go to Python hold whole texts or packed blocks: batches end by bytes, not by 10,000 rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
