@@ -121,6 +121,11 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def part_order(file_name: str):
+    """The number of a part file: names are padded to five digits only, so they do not sort beyond that."""
+    return F.regexp_extract(file_name, r"^part-(\d+)", 1).cast("bigint")
+
+
 def row_index(df: DataFrame, order_cols: list[str], out: str = "idx") -> DataFrame:
     """0-based running index in ``order_cols`` order without a single-partition window.
 
@@ -135,7 +140,7 @@ def row_index(df: DataFrame, order_cols: list[str], out: str = "idx") -> DataFra
     back = df.sparkSession.read.schema(df.schema).parquet(path).select(
         *[qcol(c) for c in df.columns], F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
     counts = back.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(part_order("_file")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return back.join(offsets, "_file").withColumn(out, (F.col("_before") + F.col("_at")).cast("bigint")) \
         .drop("_file", "_at", "_before")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.util import qcol, round6
+from flowsieve.operators.medians import exact_medians
 
 
 @dataclass
@@ -91,11 +92,17 @@ def distinct_labels(df: DataFrame, label: str = "Label") -> DataFrame:
 
 
 def summary_by_group(df: DataFrame, keys: list[str], metrics: dict[str, str]) -> DataFrame:
-    """count, mean and exact median per metric per group; null keys form their own group."""
-    aggs = [F.count(F.lit(1)).cast("bigint").alias("count_files")]
-    for out, c in metrics.items():
-        aggs += [round6(F.avg(c)).alias(f"mean_{out}"), round6(F.median(c)).alias(f"median_{out}")]
-    return df.groupBy(*keys).agg(*aggs)
+    """count, mean and exact median per metric per group; null keys form their own group. Medians are found by
+    refining histograms, so that no group has to fit one aggregation buffer."""
+    means = [round6(F.avg(c)).alias(f"mean_{out}") for out, c in metrics.items()]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("count_files"), *means)
+    found = exact_medians(df, keys, list(metrics.values()))
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"_{out}") for out, c in metrics.items()])
+    same = [counts[k].eqNullSafe(wide[k]) for k in keys]
+    medians = [round6(wide[f"_{out}"]).alias(f"median_{out}") for out in metrics]
+    both = counts.join(wide, same, "left").select(*[counts[k] for k in keys], "count_files", *[f"mean_{out}" for out in metrics], *medians)
+    order = [*keys, "count_files", *[f"{kind}_{out}" for out in metrics for kind in ("mean", "median")]]
+    return both.select(*order)
 
 
 def comparison_matrix(df: DataFrame, row: str, col: str, value: str, most: int = 1000) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowsieve.functions.util import qcol, round6
+from flowsieve.operators import moments as MO
 from flowsieve.operators import stats as ST
 from flowsieve.plans import sqlgen
 from flowsieve.plans.adapters import FLOWS_SQL, flows, sql
 from flowsieve.plans.common import BASE_CTES, RULE_SQL, prepared_flows, rule_prediction
 from flowsieve.plans.registry import register
 from flowsieve.schema import ATTACK_MAPPING_V1, mapping_df
+from flowsieve.session import scratch_path
+from flowsieve.sources.flows import write_flow_csv
 
 q = sqlgen.q
 SCALE_FEATURES = ["Packets", "Bytes", "Discount", "Tax", "Size", "Retail Price"]
@@ -25,6 +28,20 @@ def q_scaler_fit(spark, sf_dir):
     return s.select("feature", round6("mean").alias("mean"), round6("std").alias("std"))
 
 
+@register("scaler_fit_incremental", sql(FLOWS_SQL, body=" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST(count({q(c)}) AS BIGINT) AS n, {sqlgen.round6(f'avg({q(c)})')} AS mean, "
+    f"{sqlgen.round6(f'stddev_pop({q(c)})')} AS std FROM flows" for c in SCALE_FEATURES)))
+def q_scaler_fit_incremental(spark, sf_dir):
+    """Moments of the flow files, added in two deliveries; the second reads the new files only."""
+    src, store = scratch_path(spark, "moment-files"), scratch_path(spark, "moments")
+    f = flows(spark, sf_dir)
+    for part, where in (("early", "Protocol = 6"), ("late", "Protocol <> 6")):
+        write_flow_csv(f.where(where).select("Flow ID", *SCALE_FEATURES, "source_file"), f"{src}/{part}", partition_by="source_file")
+        MO.add_files(spark, src, store, SCALE_FEATURES)
+    m = MO.merged(MO.read_store(spark, store))
+    return m.select("feature", "n", round6("mean").alias("mean"), round6("std").alias("std"))
+
+
 @register("scaler_transform", sql(*BASE_CTES, "st AS (SELECT " + ", ".join(
     f"avg({q(c)}) AS m{i}, stddev_pop({q(c)}) AS s{i}" for i, c in enumerate(SCALE_FEATURES[:3])) + " FROM prepared)",
     body="SELECT flow_id, " + ", ".join(
