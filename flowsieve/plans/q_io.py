@@ -13,10 +13,10 @@ from flowsieve.functions.util import md5_u32, qcol
 from flowsieve.operators import metrics as M
 from flowsieve.operators import reports as R
 from flowsieve.operators import stats as ST
-from flowsieve.operators.sampling import hash_sample
+from flowsieve.operators.sampling import hash_sample, sample_exact_per_group
 from flowsieve.plans import sqlgen
 from flowsieve.plans.adapters import FLOWS_SQL, flows, sql
-from flowsieve.plans.common import BASE_CTES, RULE_PAIRS_SQL, rule_pairs
+from flowsieve.plans.common import BASE_CTES, RULE_PAIRS_SQL, prepare, rule_pairs, rule_prediction
 from flowsieve.plans.q_eval import _nb_sql_ctes, nb_predictions
 from flowsieve.plans.q_reports import TEXTS_SQL, _parsed_sql, result_rows, result_texts
 from flowsieve.plans.registry import register
@@ -96,14 +96,44 @@ def q_scan_chunked(spark, sf_dir):
     return FS.with_chunks(df, CHUNK_ROWS).select(FS.file_stem().alias("file"), "Flow ID", "SimillarHTTP", "position", "chunk_id")
 
 
+_CHUNKED_SQL = f"""
+chunked AS (SELECT * REPLACE (CAST((row_number() OVER (PARTITION BY source_file ORDER BY "Flow ID") - 1) // {CHUNK_ROWS} AS INTEGER) AS chunk_id) FROM flows)"""
+
+
+def _chunked_flows(spark, sf_dir):
+    """Flows read from CSV, with the file and the chunk of consecutive rows that each stands in."""
+    columns = [c for c in WRITE_COLS if c not in ("Flow ID", "SimillarHTTP", "chunk_id")]
+    df = FS.with_chunks(FS.read_flow_csv(spark, _ordered_csv(spark, sf_dir, *columns), positions=True), CHUNK_ROWS)
+    return df.withColumn("source_file", F.concat(FS.file_stem(), F.lit(".csv")))
+
+
+_rc, _rb = sqlgen.summary_metrics_sql("pairs", ["source_file", "chunk_id"])
+
+
+@register("metrics_by_row_chunk", sql(FLOWS_SQL, _CHUNKED_SQL, sqlgen.prepared_cte(src="chunked"), RULE_PAIRS_SQL, _rc, body=_rb))
+def q_metrics_by_row_chunk(spark, sf_dir):
+    """Metrics of every chunk of consecutive rows of a file, the unit over which a run's metrics are averaged."""
+    pairs = prepare(_chunked_flows(spark, sf_dir), ["source_file", "chunk_id"]).select("source_file", "chunk_id", "y", rule_prediction().alias("p"))
+    return M.summary_metrics(pairs, "y", "p", by=["source_file", "chunk_id"])
+
+
+@register("sample_per_row_chunk", sql(FLOWS_SQL, _CHUNKED_SQL, body=f"""
+SELECT source_file, chunk_id, "Flow ID" FROM (
+  SELECT source_file, chunk_id, "Flow ID", count(*) OVER w AS cnt, row_number() OVER (w ORDER BY {sqlgen.md5_u32('"Flow ID"')}, "Flow ID") AS r
+  FROM chunked WINDOW w AS (PARTITION BY source_file, chunk_id)) WHERE r <= greatest(1, floor(cnt / 30))"""))
+def q_sample_per_row_chunk(spark, sf_dir):
+    """A thirtieth of every chunk of consecutive rows."""
+    f = _chunked_flows(spark, sf_dir).select("source_file", "chunk_id", "Flow ID").withColumn("chunk", F.concat_ws("#", "source_file", "chunk_id"))
+    return sample_exact_per_group(f, "chunk", "Flow ID", 1 / 30, minimum=1).select("source_file", "chunk_id", "Flow ID")
+
+
 @register("label_from_filename", sql(FLOWS_SQL, body=f"""
 SELECT "Flow ID", {sqlgen.map_label(_stem_sql())} AS file_label, NULL AS skipped_file, NULL::BIGINT AS skipped_rows FROM flows
 WHERE {sqlgen.map_label(_stem_sql())} IS NOT NULL
 UNION ALL SELECT NULL, NULL, {_stem_sql()}, CAST(count(*) AS BIGINT) FROM flows
 WHERE {sqlgen.map_label(_stem_sql())} IS NULL GROUP BY 3"""))
 def q_label_from_filename(spark, sf_dir):
-    df = FS.read_flow_csv(spark, _flows_csv(spark, sf_dir))
-    kept, skipped = FS.label_from_filename(df, ATTACK_MAPPING_V1)
+    kept, skipped = FS.read_labelled(spark, _flows_csv(spark, sf_dir), ATTACK_MAPPING_V1)
     report = skipped.select(F.col("file").alias("skipped_file"), F.col("rows").alias("skipped_rows"))
     return kept.select("Flow ID", "file_label").unionByName(report, allowMissingColumns=True)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.functions.util import U32, md5_u32, qcol, round6
+from flowsieve.functions.util import U32, qcol, round6
 from flowsieve.operators import sampling as S
 from flowsieve.plans import sqlgen
 from flowsieve.plans.adapters import FLOWS_SQL, flows, sql
@@ -110,6 +110,3 @@ def q_label_counts(spark, sf_dir):
 def q_distinct_labels(spark, sf_dir):
     from flowsieve.operators.stats import distinct_labels
     return distinct_labels(flows(spark, sf_dir), "Label")
-
-
-_ = md5_u32  # re-exported for plan authors

@@ -7,7 +7,9 @@ tests) do we create one ourselves.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -94,7 +96,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_flowsieve_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="flowsieve-src-"), "flowsieve.zip")
+    folder = tempfile.mkdtemp(prefix="flowsieve-src-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "flowsieve.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(root):
             for n in sorted(names):

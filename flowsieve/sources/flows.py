@@ -9,6 +9,7 @@ of its file each is (quoted line breaks, chunks by row, first rows of a file) is
 from __future__ import annotations
 
 import csv
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,13 +149,26 @@ def label_from_filename(df: DataFrame, mapping: dict, path_col: str = "file_path
     return kept, skipped
 
 
+def read_labelled(spark: SparkSession, path, mapping: dict, out: str = "file_label", **options) -> tuple[DataFrame, DataFrame]:
+    """``label_from_filename`` over the files themselves: files of known classes are scanned once, of the others only
+    the records are counted."""
+    files = csv_files(spark, path) if isinstance(path, str) else list(path)
+    stems = {f: (m[1] if (m := re.search(FILE_STEM_PATTERN, f)) else "") for f in files}
+    known = [f for f in files if stems[f] in mapping]
+    other = [f for f in files if stems[f] not in mapping]
+    kept, _ = label_from_filename(read_flow_csv(spark, known or files, **options), mapping, out=out)
+    skipped = count_per_file(spark, other) if other else spark.createDataFrame([], "file string, rows bigint")
+    return kept, skipped.where("rows > 0")
+
+
 def rows_per_file(df: DataFrame, path_col: str = "file_path") -> DataFrame:
     return df.groupBy(file_stem(path_col).alias("file")).agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
 
 
 def count_per_file(spark: SparkSession, path) -> DataFrame:
     """(file, rows) from the files themselves, line breaks in quotes respected; nothing is parsed."""
-    return count_rows(spark, csv_files(spark, path)).groupBy(file_stem("file").alias("file")).agg(F.sum("rows").cast("bigint").alias("rows"))
+    files = csv_files(spark, path) if isinstance(path, str) else list(path)
+    return count_rows(spark, files).groupBy(file_stem("file").alias("file")).agg(F.sum("rows").cast("bigint").alias("rows"))
 
 
 def head_per_file(df: DataFrame, n: int, order_cols: list[str], path_col: str = "file_path") -> DataFrame:

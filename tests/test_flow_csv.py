@@ -174,3 +174,18 @@ def test_positions_follow_the_file(spark, tmp_path, small_splits, multiline):
 def test_no_files(spark, tmp_path):
     with pytest.raises(Exception, match="no CSV files|PATH_NOT_FOUND|does not exist"):
         FS.read_flow_csv(spark, str(tmp_path / "none"))
+
+
+def test_known_files_are_read_once_and_others_counted(spark, folder):
+    kept, skipped = FS.read_labelled(spark, folder, ATTACK_MAPPING_V1, multiline=True)
+    assert sorted(r.file_label for r in kept.collect()) == [8, 8, 9, 10]
+    assert [tuple(r) for r in skipped.collect()] == [("WebDDoS", 1)]
+    assert not any("WebDDoS" in f for f in kept.inputFiles())
+    kept, skipped = FS.read_labelled(spark, folder, {"other": 1})
+    assert kept.collect() == [] and skipped.count() == 4
+
+
+def test_confusion_matrix_of_no_classes_is_refused(spark):
+    from flowsieve.operators import metrics as M
+    with pytest.raises(ValueError, match="more than"):
+        M.confusion_matrix(spark.range(1500).selectExpr("cast(id as int) y", "cast(id as int) p"))
