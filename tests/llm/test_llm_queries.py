@@ -1,6 +1,7 @@
 """Registered queries: SQL where there is some, and the pipeline's stages, on the smallest tables."""
 
 import os
+import random
 import sys
 
 import duckdb
@@ -18,13 +19,13 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     names = E.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     columns, want = rows_of(con.execute(queries.ORACLE[name]).df())
     names, got = rows_of(queries.QUERIES[name](spark, SF).toPandas())
@@ -70,3 +71,23 @@ def test_pipeline_stages_on_awkward_rows(spark, rows):
     assert out.count() == docs.count()
     if rows == "awkward":
         assert "a@b.cd" not in " ".join(r.text or "" for r in docs.collect())
+
+
+@pytest.mark.parametrize("times", [1, 3])
+def test_pii_counts_repeated_rows_as_its_sql_does(spark, tmp_path, times):
+    """A name that stands next to one address discloses it, however often the rows are repeated."""
+    rng = random.Random(6)
+    filler = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(12))
+    told = [(i, f"Please contact Zorblax Quimby at q.zorblax@mail.example.org about {filler()}") for i in range(4)] * times
+    rows = told + [(100 + i, filler()) for i in range(40)] + [(None, told[0][1]), (200, None), (201, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t is not None else None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    columns, want = rows_of(con.execute(queries.ORACLE["op4_pii_sanitise"]).df())
+    names, got = rows_of(queries.QUERIES["op4_pii_sanitise"](spark, str(tmp_path)).toPandas())
+    assert names == columns and sorted(map(repr, got)) == sorted(map(repr, want))
+    assert all("term:" in r.spans for r in queries.QUERIES["op4_pii_sanitise"](spark, str(tmp_path)).where("n_email > 0").collect())
+    from flowsieve.llm import pii
+    clean = [r.text or "" for r in pii.sanitise(docs).collect()]
+    assert len(clean) == len(rows) and not any("Zorblax" in t or "Quimby" in t or "zorblax" in t for t in clean)
