@@ -5,7 +5,7 @@ to right. Two neighbouring tokens are what the merges would produce exactly if u
 of the two's merges, step by step, never shows a pair that would have merged earlier (the
 pair-compatibility table, filled as pairs are met). When a pair fails, the encoder falls back to
 the next shorter token, and at a dead end to the token before; positions known to be dead are
-never entered twice, so a word takes linear time and no merge loop runs.
+never entered twice and a search sees no more of the word than the longest token, so a word takes linear time and no merge loop runs.
 
 Words repeat, so each Python worker keeps a bounded table of the words it has met. Documents are
 split among tasks by Spark and never shuffled.
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from flowsieve.llm.common import Sealed, named, pick
 
-WORD_TABLE = 300_000  # words a worker keeps; it starts anew beyond that
+WORD_TABLE = 300_000  # words a worker keeps, and their letters; it starts anew beyond that
+WORD_LETTERS = 4_000_000
+ROWS = 256  # rows whose tokens are held at a time
 PAIR_TABLE = 1_000_000
 
 # The word pattern in its general form, and the same restricted to Latin-1.
@@ -47,15 +49,17 @@ def byte_symbols() -> list[str]:
 
 
 class WordTable(dict):
-    """word -> token ids, computed on first use; emptied when full."""
+    """word -> token ids, computed on first use; emptied when it holds too many words or letters."""
 
-    def __init__(self, encode, most):
+    def __init__(self, encode, most, letters):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.letters, self.held = encode, most, letters, 0
 
     def __missing__(self, word):
-        if len(self) >= self.most:
+        if len(self) >= self.most or self.held + len(word) > self.letters:
             self.clear()
+            self.held = 0
+        self.held += len(word)
         ids = self[word] = self.encode(word)
         return ids
 
@@ -91,13 +95,14 @@ class WordBpe:
             self.shorter[i] = next((ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ids), None)
             self.automaton.add_word(t, i)
         self.automaton.make_automaton()
+        self.widest = max(self.length)
         # decoding: every token followed by a space, one after the other, and where each starts
         blobs = [names.get(i, "").encode() + b" " for i in range(size)]
         self.blob = np.frombuffer(b"".join(blobs), np.uint8)
         self.offset = np.concatenate(([0], np.cumsum([len(b) for b in blobs])))
         self.text_of = [str(i) for i in range(size)]
         self.pairs: dict[int, bool] = {}
-        self.words = WordTable(self.encode_word, WORD_TABLE)
+        self.words = WordTable(self.encode_word, WORD_TABLE, WORD_LETTERS)
 
     def compatible(self, a: int, b: int) -> bool:
         """Do the merges leave ``a`` and ``b`` side by side?"""
@@ -131,14 +136,16 @@ class WordBpe:
         if sum(map(self.length.__getitem__, greedy)) == n and all(map(compatible, greedy, greedy[1:])):
             return tuple(greedy)
         out, pos, dead = [], 0, bytearray(n + 1)
-        token = next(longest(text), (0, None))[1]
+        # a search sees as much of the word as the longest token takes, so that a step costs the same in any word
+        at = lambda i: next(longest(text[i:i + self.widest]), (0, None))[1]
+        token = at(0)
         while pos < n:
             while token is not None and (dead[pos + self.length[token]] or (out and not compatible(out[-1], token))):
                 token = self.shorter[token]
             if token is not None:
                 out.append(token)
                 pos += self.length[token]
-                token = next(longest(text, pos), (0, None))[1] if pos < n - 1 else None
+                token = at(pos) if pos < n - 1 else None
             else:
                 dead[pos] = 1
                 token = out.pop()
@@ -196,14 +203,13 @@ def _mapped(df: DataFrame, column: str, fields: list[tuple[str, str, pa.DataType
 
     def run(batches):
         for b in batches:
-            values = b.column(column)
-            out = [[] for _ in fields]
-            for i in range(0, len(values), 256):
-                for v in values.slice(i, 256).to_pylist():
+            for i in range(0, b.num_rows, ROWS):
+                part, out = b.slice(i, ROWS), [[] for _ in fields]
+                for v in part.column(column).to_pylist():
                     for o, x in zip(out, compute(v), strict=True):
                         o.append(x)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(o, t) for o, (_, _, t) in zip(out, fields, strict=True))],
-                                             [*kept, *(n for n, _, _ in fields)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(o, t) for o, (_, _, t) in zip(out, fields, strict=True))],
+                                                 [*kept, *(n for n, _, _ in fields)])
 
     schema = df.select(*[named(c) for c in kept], *[F.lit(None).cast(t).alias(n) for n, t, _ in fields]).schema
     return df.mapInArrow(run, schema)
