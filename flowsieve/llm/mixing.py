@@ -152,24 +152,47 @@ def mix_units(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sou
                       (F.col("sure") + F.col("pi").cast("long")).alias("copies"))
 
 
+COPIES = 1024  # of a row that one task writes in a go
+
+
+def repeated(rows: DataFrame, count: str, out: str) -> DataFrame:
+    """Each row ``count`` (at most COPIES) times, ``out`` numbering them from 1."""
+    return rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col(count))).alias(out))
+
+
+def dealt(rows: DataFrame, count: str, out: str) -> DataFrame:
+    """Each row ``count`` times: cut into stretches of COPIES, which are dealt out to all tasks."""
+    parts = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {COPIES}"))).alias("_part"))
+    parts = parts.withColumn("_deal", F.xxhash64(F.monotonically_increasing_id())).repartition("_deal")
+    first = F.col("_part") * COPIES
+    return parts.select("*", F.explode(F.sequence(first + 1, F.least(first + COPIES, F.col(count)))).alias(out)).drop("_part", "_deal")
+
+
 def mix_report(docs: DataFrame, id_col="doc_id", **options) -> DataFrame:
     """One row per row of ``docs``: the id, size, source_size, target and taken (words).
     The copies of equal rows are spread evenly over them."""
     u = mix_units(docs, id_col=id_col, **options)
-    u = u.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("k"))
+    u = repeated(u.where(F.col("m") <= COPIES), "m", "k").unionByName(dealt(u.where(F.col("m") > COPIES), "m", "k"))
     copies = F.expr("copies div m") + F.when(F.col("k") <= F.col("copies") % F.col("m"), 1).otherwise(0)
     return u.select(F.col("id").cast(docs.schema[position(docs, id_col)].dataType).alias(id_col), "size", "source_size", "target",
                     (F.col("size") * copies).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
-    """The mix itself: rows of ``docs`` with all their columns, each as often as it is taken."""
+    """The mix itself: rows of ``docs`` with all their columns, each as often as it is taken. Null texts count 0
+    words and are taken as often as others of their source; of repeated rows one stands for all; null ids and sources are values like any
+    other; no rows give no rows; other columns, whatever their names, are those of the row taken."""
     u = (mix_units(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("copies > 0")
          .select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("digest").alias("_d"), F.col("m").alias("_m"),
                  F.col("copies").alias("_c")))
     sealed = Sealed(docs)
     i, s, t = (F.col(sealed.column(c)) for c in (id_col, source_col, text_col))
     d = sealed.df.withColumn("_k", F.struct(i.cast("string").alias("i"), s.cast("string").alias("s"), F.xxhash64(t).alias("d")))
-    j = d.join(u, d["_k.i"].eqNullSafe(u["_i"]) & d["_k.s"].eqNullSafe(u["_s"]) & (d["_k.d"] == u["_d"]))
-    once = j.where("_m = 1").unionByName(j.where("_m > 1").dropDuplicates(["_k"]))
-    return sealed.open(once.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c")))))
+
+    def taken(units: DataFrame) -> DataFrame:
+        j = d.join(units, d["_k.i"].eqNullSafe(units["_i"]) & d["_k.s"].eqNullSafe(units["_s"]) & (d["_k.d"] == units["_d"]))
+        return j.where("_m = 1").unionByName(j.where("_m > 1").dropDuplicates(["_k"]))
+
+    # rows taken many times are few: they are looked up apart and dealt out
+    few, many = taken(u.where(F.col("_c") <= COPIES)), taken(u.where(F.col("_c") > COPIES))
+    return sealed.open(repeated(few, "_c", "_n").unionByName(dealt(many, "_c", "_n")))
