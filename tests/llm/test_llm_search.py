@@ -267,3 +267,43 @@ def test_search_without_documents_or_queries(spark, empty, library):
     assert maxsketch.search(empty, asked).collect() == []
     assert maxsketch.search(frame(spark, rows[:20]), asked.limit(0)).collect() == []
     assert maxsketch.search(frame(spark, [(1, "", "en")]), asked).collect() == []
+
+
+# --- 6 and 8: long words, hot rows
+
+def test_bpe_takes_linear_time_on_any_word():
+    import time
+
+    import public_tokenizers
+
+    from flowsieve.llm import bpe
+    t = bpe.loaded(public_tokenizers.path("word_bpe_49k.json"))
+    rng, took = random.Random(3), []
+    for n in (60_000, 120_000, 240_000):
+        word = "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+        began = time.process_time()
+        ids = t.encode_word(word)
+        took.append(time.process_time() - began)
+        assert sum(t.length[i] for i in ids) == n + 1
+    assert took[2] < 8 * took[0] + 0.5  # quadratic time takes 16 times as long
+    held = t.words.held
+    t.words["x" * 3000]
+    assert t.words.held >= min(held, 3000) and t.words.letters >= t.words.held
+
+
+def test_copies_of_a_hot_row_are_dealt_out(spark):
+    from flowsieve.llm import mixing
+    n = 6 * mixing.COPIES
+    rows = spark.range(n).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(13).cast("long").alias("n_chars"))
+    other = spark.range(3000).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit("b").alias("source"), F.lit(5).cast("long").alias("n_chars"))
+    docs = rows.unionByName(other).repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        report = mixing.mix_report(docs)
+        sizes = [r[1] for r in report.where("doc_id = 7").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == n and len(sizes) >= 3 and max(sizes) < n
+        taken = {r.doc_id: r.n for r in mixing.mix_documents(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert taken.get(7, 0) * 3 == report.where("doc_id = 7").agg(F.sum("taken")).first()[0]
