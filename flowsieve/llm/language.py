@@ -217,9 +217,12 @@ def sample(rows: DataFrame, max_rows: int) -> list[tuple[str, np.ndarray, np.nda
     langs = keys.agg(F.countDistinct("lang").alias("n")).first().n
     if not langs:
         return []
-    # the rank inside a language follows another hash, so that it says nothing about the text's own one
-    first = keys.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h", F.lit(1)), "h")))
-    first = first.where(F.col("at") <= max(1, max_rows // langs)).orderBy("at", "lang").limit(max_rows).select("lang", "h")
+    # the rank inside a language follows another hash, so that it says nothing about the text's own one; it is
+    # taken in parts first, as one language may hold most rows
+    first = keys.withColumn("part", F.pmod("h", F.lit(256)))
+    for by in (["lang", "part"], ["lang"]):
+        first = first.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("h", F.lit(1)), "h"))).where(F.col("at") <= max(1, max_rows // langs))
+    first = first.orderBy("at", "lang").limit(max_rows).select("lang", "h")
     texts = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(first), ["lang", "h"]).dropDuplicates(["lang", "h"])
 
     def run(batches):
@@ -246,8 +249,8 @@ def train(docs: DataFrame, max_rows: int = 4000, epochs: int = 3, id_col="doc_id
     y = np.array([langs.index(lang) for lang, *_ in drawn])
     # features of the sample have weights, numbered without gaps; the last one is the constant
     seen = np.unique(np.concatenate([f for _, f, _ in drawn]))
-    x = [np.append(weighted(np.zeros(len(f), int), f, n, idf), 1.0) for _, f, n in drawn]
-    at = [np.append(np.searchsorted(seen, f), len(seen)) for _, f, _ in drawn]
+    x = [np.append(weighted(np.zeros(len(f), int), f, n, idf), 1.0).astype(np.float32) for _, f, n in drawn]
+    at = [np.append(np.searchsorted(seen, f), len(seen)).astype(np.int32) for _, f, _ in drawn]
     model, rng = Ftrl(len(seen) + 1, len(langs), **options), np.random.default_rng(seed)
     kept = np.arange(len(drawn)) % 5 == 4
     fit = np.flatnonzero(~kept)
