@@ -7,8 +7,8 @@ carry-save adders reduce all bitmaps of a weight to one, so that the slices of t
 there for the whole block. The best rows are then selected from the most significant slice
 downward; rows still equal at the last slice are the boundary and are resolved by id.
 
-Scale: vectors are dealt by hash into blocks of bounded size and queries into batches of bounded
-size; each (block, batch) cell is one unit of work. A cell returns at most k rows per query,
+Scale: vectors are dealt by hash into blocks of bounded size and queries, by id and vector, into batches of bounded
+size; each (block, batch) cell is one unit of work, and a block is sent once a batch. A cell returns at most k rows per query,
 so the last step sorts ``k x blocks`` rows of a query.
 """
 
@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from flowsieve.llm.common import pick, stored
 
 BLOCK_ROWS = 1 << 16
-BATCH_QUERIES = 64
+BATCH_QUERIES = 64  # least queries of a batch
+MOST_QUERIES = 8192  # most: about the bytes of a block
+CELLS_A_CORE = 4
+MOST_TASKS = 1 << 20
 
 
 def slices_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,14 +180,16 @@ def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, id_col="
     rows = stored(rows.withColumn("copy", copies).select("id", "dims", "vector"), "bsi-rows")
     n = rows.count()
     blocks, asked = max(1, -(-n // block_rows)), rows.where(F.col("id") % every == 0).distinct()
-    batches = max(1, -(-(n // every) // batch_queries))
+    # batches as large as leave every core some cells, so that a block is sent few times
+    queries, cores = asked.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    batches = max(1, -(-queries // min(MOST_QUERIES, max(batch_queries, queries * blocks // (CELLS_A_CORE * cores)))))
     index = (rows.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)))
              .groupBy("dims", "block").applyInArrow(_build, "dims int, block long, nulls long, ids binary, low binary, width binary, maps binary"))
-    grouped = (asked.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)))
+    grouped = (asked.withColumn("batch", F.pmod(F.xxhash64("id", "vector", F.lit(1)), F.lit(batches)))
                .groupBy("dims", "batch").agg(F.collect_list(F.struct("id", "vector")).alias("q"))
                .select("dims", "batch", F.col("q.id").alias("queries"), F.col("q.vector").alias("vectors")))
     cells = (index.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))))
-             .join(grouped, ["dims", "batch"]).repartition(4 * blocks * batches, "dims", "block", "batch"))
+             .join(grouped, ["dims", "batch"]).repartition(min(4 * blocks * batches, MOST_TASKS), "dims", "block", "batch"))
     found = cells.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

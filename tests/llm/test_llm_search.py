@@ -307,3 +307,23 @@ def test_copies_of_a_hot_row_are_dealt_out(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert taken.get(7, 0) * 3 == report.where("doc_id = 7").agg(F.sum("taken")).first()[0]
+
+
+# --- 3: many vectors under one id
+
+def test_queries_of_one_id_are_dealt_by_vector(spark):
+    from flowsieve.llm import bitsliced
+    rng = np.random.default_rng(9)
+    x = rng.integers(-40, 40, (500, 6)) / 256
+    ids = np.where(np.arange(500) < 350, 50, np.arange(500) + 1)
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = bitsliced.top_inner_products(df, batch_queries=16, block_rows=200).collect()
+    e = np.floor(256 * x).astype(int)
+    asked = {}
+    for i, v in zip(ids.tolist(), e, strict=True):
+        if i % 50 == 0:
+            asked.setdefault(i, set()).add(tuple(v.tolist()))
+    # one list of k rows an id: the best over all of its vectors
+    for q, vectors in asked.items():
+        best = sorted((-int(np.dot(v, c)), i) for v in vectors for i, c in zip(ids.tolist(), e, strict=True) if i != q)[:5]
+        assert sorted((-r.score, r.vec_id) for r in got if r.query_id == q) == best, q
