@@ -5,7 +5,7 @@ polynomials (modulo 2^64) over the bytes hash every word, and prefix polynomials
 hash every phrase of 1 to 4 words. Equal fingerprints of a block are compared byte by byte and become one
 row: fingerprint, count, pointer to an occurrence. A shuffle sums the counts of a fingerprint; the
 pointers of those that reach ``least`` go back to their blocks, which cut the phrases out, and a last
-sum by language and text gives exact counts whatever collides. Phrases of 3 and 4 words are only looked
+sum by language and text, in buckets of bounded size, gives exact counts whatever collides. Phrases of 3 and 4 words are only looked
 at where all their word pairs are frequent (a bitmap of fixed size; what it lets through in vain
 is counted like the rest).
 
@@ -20,6 +20,8 @@ follow as context; other columns play no part.
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.llm.common import pick, stored
+from flowsieve.session import scratch_path
 
 WIDEST = 4
-BLOCK = 8 << 20
-SEGMENT = 1 << 20  # bytes whose prefix polynomial is held at a time
-BITS = 26  # of a fingerprint, in the bitmap of frequent word pairs: 8 MB at any size of the input
+BLOCK = (8 << 20) - 1
+PLACE_BITS = 24  # of a pointer, for the place in its block; ROW_BITS for the block's row in its task
+ROW_BITS = 18
+SEGMENT = 1 << 17  # bytes whose prefix polynomial is held at a time
+BITS = 24  # of a fingerprint, in the bitmap of frequent word pairs: 2 MB at any size of the input
+BUCKET_MARKS = 300_000  # pointers of one and two words a bucket of texts
 SPACE, BREAK, CONTEXT = 32, 10, 11  # what a normalised text holds between words
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -130,7 +136,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if held is None or len(held[0]) < n:
         size = max(n, SEGMENT + 1)
         held = tuple(np.cumprod(np.append(np.uint64(1), np.full(size - 1, b, np.uint64))) for b in (BASE, INVERSE))
-        if size <= 4 * SEGMENT:
+        if size <= 8 * SEGMENT:
             _powers["held"] = held
     return held[0][:n], held[1][:n]
 
@@ -190,6 +196,11 @@ def frequent_pairs(words: Words, lang: str, bitmap: np.ndarray) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Free memory that Arrow keeps goes back to the system: workers stay for the next stage, and some wait idle."""
+    pa.default_memory_pool().release_unused()
+
+
 def packed(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int) -> DataFrame:
     """(lang, words, text): normalised texts of a language in blocks, and the number of their words."""
     d = pick(docs, text=text_col, lang=lang_col).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text")).where("text is not null")
@@ -216,16 +227,18 @@ def packed(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int) -> D
                     sizes.pop(most)
         for lang, parts in held.items():
             yield block(lang, parts)
+        give_back()
 
     return d.mapInArrow(run, "lang string, words long, text binary")
 
 
-MARKS = "fp long, block long, at int, size int, k int, n long"
+MARKS = "fp long, place long, nk long"
 
 
 def marks_of(blocks: DataFrame, widths: tuple[int, ...], bitmap: np.ndarray | None = None) -> DataFrame:
-    """One row for each phrase of a block: fingerprint, pointer (block, first byte, bytes), words, count."""
-    schema = pa.schema([("fp", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("k", pa.int32()), ("n", pa.int64())])
+    """One row for each phrase of a block: fingerprint, pointer (block and first byte), count and words. Three numbers,
+    as this is what the shuffle carries."""
+    schema = pa.schema([("fp", pa.int64()), ("place", pa.int64()), ("nk", pa.int64())])
 
     def run(batches):
         for b in batches:
@@ -244,54 +257,88 @@ def marks_of(blocks: DataFrame, widths: tuple[int, ...], bitmap: np.ndarray | No
                     if not len(at):
                         continue
                     f, where, n = rows_of(words, at, h, k)
-                    lo = words.start[where]
+                    place = words.start[where] | (number << PLACE_BITS)
                     for c in range(0, len(f), 1 << 17):
                         part = slice(c, c + (1 << 17))
-                        size = words.end[where[part] + k - 1] - lo[part]
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(f[part].view(np.int64)), pa.array(np.full(len(size), number)), pa.array(lo[part].astype(np.int32)),
-                            pa.array(size.astype(np.int32)), pa.array(np.full(len(size), k, np.int32)), pa.array(n[part].astype(np.int64))], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(f[part].view(np.int64)), pa.array(place[part]), pa.array(n[part] << 2 | k - 1)], schema=schema)
+        give_back()
 
     return blocks.select("lang", "block", "text").mapInArrow(run, MARKS)
 
 
 def reaching(marks: DataFrame, least: int) -> DataFrame:
     """The marks of fingerprints whose counts reach ``least`` together."""
-    total = F.sum("n").over(Window.partitionBy("fp"))
+    total = F.sum(F.shiftright("nk", 2)).over(Window.partitionBy("fp"))
     return marks.withColumn("total", total).where(F.col("total") >= least).drop("total")
 
 
 def bitmap_of(marks: DataFrame) -> np.ndarray:
     """The leading bits of the fingerprints of word pairs as a bitmap: 2^BITS bits, whatever their number."""
     place = F.shiftrightunsigned("fp", 64 - BITS)
-    rows = marks.where("k = 2").select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {64 - BITS}) & 63 as int))").alias("b"))
+    rows = marks.where("nk & 3 = 1").select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {64 - BITS}) & 63 as int))").alias("b"))
     found = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (BITS - 6), np.int64)
     out[found["w"].to_numpy()] = found["b"].to_numpy()
     return out.view(np.uint64)
 
 
-def phrases_at(marks: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(lang, phrase, k, n): the text under every pointer, cut from its block."""
+def phrases_at(marks: DataFrame, blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, lang, phrases, n): the texts under the pointers, cut from their blocks; those of a block that fall into
+    one bucket (by a hash of the text) are one row, joined by line breaks, with their counts."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.binary()), "k": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
-        text = right["text"][0].as_py().replace(bytes([CONTEXT]), b" ")
-        at, size = left["at"].to_numpy(), left["size"].to_numpy()
-        phrases = pa.array([text[i:j] for i, j in zip(at.tolist(), (at + size).tolist(), strict=True)], pa.binary())
-        return pa.table({"lang": pa.array([right["lang"][0].as_py()] * left.num_rows, pa.string()), "phrase": phrases, "k": left["k"], "n": left["n"]})
-
-    found = marks.groupBy("block").cogroup(blocks.select("block", "lang", "text").groupBy("block")).applyInArrow(run, "lang string, phrase binary, k int, n long")
-    return found.withColumn("phrase", F.col("phrase").cast("string"))
+        rows = []
+        if left.num_rows and right.num_rows:
+            lang, text, nk = right["lang"][0].as_py(), right["text"][0].as_py(), left["nk"].to_numpy()
+            words = Words(text)
+            text = text.replace(bytes([CONTEXT]), b" ")
+            start = left["place"].to_numpy() & ((1 << PLACE_BITS) - 1)
+            end = words.end[np.searchsorted(words.start, start) + (nk & 3)]
+            phrases = [text[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+            bucket = np.fromiter(map(zlib.crc32, phrases), np.int64, len(phrases)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+                some = order[lo:hi]
+                rows.append({"bucket": int(bucket[some[0]]), "lang": lang, "phrases": b"\n".join([phrases[i] for i in some.tolist()]), "n": (nk[some] >> 2).tobytes()})
+            give_back()
+        return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("phrases", pa.binary()), ("n", pa.binary())]))
+
+    marks = marks.withColumn("block", F.shiftright("place", PLACE_BITS))
+    return marks.groupBy("block").cogroup(blocks.select("block", "lang", "text").groupBy("block")).applyInArrow(run, "bucket long, lang string, phrases binary, n binary")
+
+
+def counted_by_text(packed_phrases: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, k, f): exact counts of the texts of each bucket, those that reach ``least``."""
+    def run(table: pa.Table) -> pa.Table:
+        found: dict[str, Counter] = {}
+        for lang, phrases, n in zip(table["lang"].to_pylist(), table["phrases"], table["n"], strict=True):
+            counts = found.setdefault(lang, Counter())
+            for phrase, times in zip(phrases.as_py().split(b"\n"), np.frombuffer(n.as_py(), np.int64).tolist(), strict=True):
+                counts[phrase] += times
+        rows = [(lang, p, p.count(b" ") + 1, f) for lang, counts in found.items() for p, f in counts.items() if f >= least]
+        columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+        kinds = {"lang": pa.string(), "phrase": pa.binary(), "k": pa.int32(), "f": pa.int64()}
+        return pa.table({name: pa.array(c, t) for (name, t), c in zip(kinds.items(), columns, strict=True)})
+
+    out = packed_phrases.groupBy("bucket").applyInArrow(run, "lang string, phrase binary, k int, f long")
+    return out.withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, text_col="text", lang_col="lang", block_bytes: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, f) of all phrases of 1 to 4 words with f >= least, (lang, n) words of a language)."""
-    blocks = stored(packed(docs, text_col, lang_col, block_bytes).withColumn("block", F.monotonically_increasing_id()), "collocation-blocks")
+    if block_bytes >= 1 << (PLACE_BITS - 1):
+        raise ValueError("a place in a block must fit PLACE_BITS")
+    row = F.monotonically_increasing_id()  # task << 33 | row of the task
+    number = F.shiftleft(F.shiftright(row, 33), ROW_BITS) + (row.bitwiseAND(F.lit((1 << 33) - 1)))
+    blocks = packed(docs, text_col, lang_col, block_bytes).withColumn("block", number)
+    path = scratch_path(blocks.sparkSession, "collocation-blocks")
+    # a row group ends after every block, so that neither writer nor reader holds several
+    blocks.write.option("parquet.block.size", block_bytes).option("parquet.page.size.row.check.min", 1).parquet(path)
+    blocks = blocks.sparkSession.read.schema(blocks.schema).parquet(path)
     short = stored(reaching(marks_of(blocks, (1, 2)), least), "collocation-marks")
     long = reaching(marks_of(blocks, (3, 4), bitmap_of(short)), least)
-    found = phrases_at(short.unionByName(long), blocks)
-    counts = found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    buckets = -(-short.count() // BUCKET_MARKS) or 1
+    counts = counted_by_text(phrases_at(short.unionByName(long), blocks, buckets), least)
     return stored(counts, "collocation-phrases"), blocks.groupBy("lang").agg(F.sum("words").alias("n"))
 
 
