@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,10 +106,14 @@ def split_table(text: DataFrame) -> DataFrame:
 
 
 def by_split(df: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-    """``df`` with columns of its split: a broadcast of fixed-size rows while the table is small, a join beyond it."""
-    small = table.select(_key().alias("_split"), *columns)
+    """``df`` with columns of its split: a broadcast of fixed-size rows while the table is small, a join beyond it.
+    Files that were cut otherwise in the pass that made the table (the session's settings or its cores changed
+    meanwhile) are an error, never lost rows."""
+    small = table.select(_key().alias("_split"), F.lit(True).alias("_known"), *columns)
     small = F.broadcast(small) if table.count() <= MOST_SPLITS else small
-    return df.withColumn("_split", _key()).join(small, "_split").drop("_split")
+    both = df.withColumn("_split", _key()).join(small, "_split", "left")
+    known = F.coalesce("_known", F.raise_error(F.lit("files were cut into other splits than before: read them again")).cast("boolean"))
+    return both.where(known).drop("_split", "_known")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -143,7 +148,7 @@ def whole_records(text: DataFrame) -> DataFrame:
                 part = value.slice(lo, hi - lo)
                 before = (inside + np.cumsum(q[lo:hi]) - q[lo:hi]) & 1
                 after = (before + q[lo:hi]) & 1
-                full = np.array(pa.compute.not_equal(pa.compute.utf8_trim(part, " \t"), ""))
+                full = np.array(pc.not_equal(pc.utf8_trim(part, " \t"), ""))
                 starts = (before == 0) & full
                 at = started + np.cumsum(starts) - 1
                 alone = np.flatnonzero(starts & (after == 0))

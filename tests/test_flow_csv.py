@@ -189,3 +189,12 @@ def test_confusion_matrix_of_no_classes_is_refused(spark):
     from flowsieve.operators import metrics as M
     with pytest.raises(ValueError, match="more than"):
         M.confusion_matrix(spark.range(1500).selectExpr("cast(id as int) y", "cast(id as int) p"))
+
+
+def test_other_splits_than_before_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a\n" + "1\n" * 50)
+    text = FR.lines(spark, FR.csv_files(spark, str(tmp_path)))
+    table = FR.split_table(text)
+    assert FR.by_split(text, table, "opens").count() == 51
+    with pytest.raises(Exception, match="other splits"):
+        FR.by_split(text.withColumn("block", F.lit(7).cast("bigint")), table, "opens").collect()
