@@ -303,7 +303,8 @@ def phrases_at(marks: DataFrame, blocks: DataFrame, buckets: int) -> DataFrame:
             give_back()
         return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("phrases", pa.binary()), ("n", pa.binary())]))
 
-    marks = marks.withColumn("block", F.shiftright("place", PLACE_BITS))
+    # the fingerprint has done its work and stays behind
+    marks = marks.select("place", "nk", F.shiftright("place", PLACE_BITS).alias("block"))
     return marks.groupBy("block").cogroup(blocks.select("block", "lang", "text").groupBy("block")).applyInArrow(run, "bucket long, lang string, phrases binary, n binary")
 
 
