@@ -130,7 +130,8 @@ def write_flow_csv(df: DataFrame, path: str, pad: str = " ", partition_by: str |
     wr.csv(path)
 
 
-FILE_STEM_PATTERN = r"([^/=]+?)\.csv(?:/|$)"
+# tried at the starts of path components only: the same match, in time linear in the path
+FILE_STEM_PATTERN = r"(?:^|[/=])([^/=]+?)\.csv(?:/|$)"
 LOGICAL_FILE = r"^(.*?\.csv)(?:/|$)"  # a file, or the folder of its part files
 
 

@@ -25,6 +25,18 @@ def _counted(df, seen):
     return df.mapInArrow(run, df.schema)
 
 
+def test_file_stem_is_linear_in_the_path(spark):
+    paths = ["a/x.csv", "x.csv", "/d/k=Syn.csv/part-0.csv", "a=b=c.csv", "/x.csv=y.csv/z", "/.csv/q.csv", "/.csv.csv", "/x.csvy/z.csv", "none", "", "/a.b.csv/c",
+             "file:/a b/é=ü.csv/p"]
+    old = r"([^/=]+?)\.csv(?:/|$)"
+    got = spark.createDataFrame([(p,) for p in paths], "file_path string").select("file_path", FS.file_stem().alias("s")).collect()
+    assert {r.file_path: r.s for r in got} == {p: (m[1] if (m := re.search(old, p)) else "") for p in paths}
+    t0 = time.time()
+    long = spark.range(100).select(F.concat(F.repeat(F.lit("x"), F.lit(30_000)), F.lit("/"), F.col("id").cast("string"), F.lit(".csv")).alias("file_path"))
+    assert long.select(FS.file_stem().alias("s")).distinct().count() == 100
+    assert time.time() - t0 < 15
+
+
 def test_telemetry_state_has_two_partitions_a_core(spark, tmp_path):
     from flowsieve.streaming import running as SR
     before = spark.conf.get("spark.sql.shuffle.partitions")
