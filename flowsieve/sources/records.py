@@ -155,13 +155,17 @@ def whole_records(text: DataFrame) -> DataFrame:
                 if len(alone):
                     yield pa.RecordBatch.from_arrays([pa.array([place[0]] * len(alone), pa.string()), pa.array(np.full(len(alone), place[1])), pa.array(at[alone]),
                                                       pa.array(np.full(len(alone), COMPLETE, np.int32)), part.take(pa.array(alone))], schema=schema)
-                for i in np.flatnonzero((before == 1) | (after == 1)).tolist():
-                    if before[i] == 0:
-                        held, held_at = [], int(at[i])
-                    held.append(part[i].as_py())
-                    if after[i] == 0:
-                        yield rows(*place, [(held_at, COMPLETE if held_at >= 0 else TAIL, "\n".join(held))])
+                broken, joined = np.flatnonzero((before == 1) | (after == 1)), []
+                for first, last, number, line in zip((before[broken] == 0).tolist(), (after[broken] == 0).tolist(), at[broken].tolist(),
+                                                     part.take(pa.array(broken)).to_pylist(), strict=True):
+                    if first:
+                        held, held_at = [], number
+                    held.append(line)
+                    if last:
+                        joined.append((held_at, COMPLETE if held_at >= 0 else TAIL, "\n".join(held)))
                         held, held_at = [], -1
+                if joined:  # one batch for all of them, no larger than the lines that came
+                    yield rows(*place, joined)
                 inside, started = int(after[-1]), started + int(starts.sum())
         if held:
             yield rows(*place, [(held_at, HEAD if held_at >= 0 else TAIL, "\n".join(held))])

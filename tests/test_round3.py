@@ -37,6 +37,20 @@ def test_file_stem_is_linear_in_the_path(spark):
     assert time.time() - t0 < 15
 
 
+def test_joined_records_leave_in_few_batches(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("h,v\n" + '1,"x\ny"\n' * 50)
+    kind = type(spark.range(0))
+    found, plain = [], kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **k: found.append(f) or plain(self, f, *a, **k))
+    whole = records.whole_records(records.lines(spark, [str(tmp_path / "a.csv")]))
+    assert [r.value for r in whole.orderBy("at").collect()] == ["h,v"] + ['1,"x\ny"'] * 50
+    n = 100
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array(["f"] * n), pa.array([0] * n), pa.array([False] * n),
+                                        pa.array(['1,"x', 'y"'] * (n // 2)), pa.array([1] * n, pa.int32())], ["key", "file", "block", "opens", "value", "q"])
+    out = list(next(f for f in found if f.__name__ == "assemble")(iter([batch])))
+    assert sum(b.num_rows for b in out) == 50 and len(out) <= 2
+
+
 def test_telemetry_state_has_two_partitions_a_core(spark, tmp_path):
     from flowsieve.streaming import running as SR
     before = spark.conf.get("spark.sql.shuffle.partitions")
