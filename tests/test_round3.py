@@ -51,6 +51,17 @@ def test_joined_records_leave_in_few_batches(spark, tmp_path, monkeypatch):
     assert sum(b.num_rows for b in out) == 50 and len(out) <= 2
 
 
+def test_texts_are_written_by_many_tasks(spark, tmp_path):
+    rows = [(f"t{i}-{m}", i, m) for i in range(60) for m in "ab"]
+    texts.write_texts(spark.createDataFrame(rows, "text string, run int, model string"), str(tmp_path / "o"), ["run", "model"])
+    files = glob.glob(str(tmp_path / "o/*/*/part-*.txt"))
+    assert {(open(f).read(), f.split("/")[-3], f.split("/")[-2]) for f in files} == {(f"{t}\n", f"run={r}", f"model={m}") for t, r, m in rows}
+    tasks = {}
+    for f in files:
+        tasks.setdefault(f.split("/")[-3], set()).add(os.path.basename(f).split("-")[1])
+    assert len(set().union(*tasks.values())) > 4 and {len(t) for t in tasks.values()} == {1}
+
+
 def test_telemetry_state_has_two_partitions_a_core(spark, tmp_path):
     from flowsieve.streaming import running as SR
     before = spark.conf.get("spark.sql.shuffle.partitions")
