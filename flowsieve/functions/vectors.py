@@ -24,13 +24,20 @@ def pad_to_square(arr, n: int) -> Column:
     return F.concat(a, F.array_repeat(F.lit(0.0), pad)) if pad else a
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once a row: what a lambda mentions of the outside is computed anew
+    for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(arr) -> Column:
     """Numerically stable softmax: exp(x - max) / sum(exp(x - max))."""
-    a = as_col(arr).cast("array<double>")
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    total = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / total)
+    def shares(e):
+        return _once(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda total: F.transform(e, lambda x: x / total))
+
+    def exps(a):
+        return _once(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))
+    return _once(as_col(arr).cast("array<double>"), lambda a: _once(exps(a), shares))
 
 
 def argmax(arr) -> Column:
@@ -41,9 +48,8 @@ def argmax(arr) -> Column:
 
 def topk_scores(arr, k: int = 3) -> Column:
     """The k largest values, descending, padded with 0.0 when the array is shorter."""
-    a = F.slice(F.sort_array(as_col(arr).cast("array<double>"), asc=False), 1, k)
-    return F.transform(F.sequence(F.lit(1), F.lit(k)),
-                       lambda i: F.coalesce(F.try_element_at(a, i), F.lit(0.0)))
+    return _once(F.slice(F.sort_array(as_col(arr).cast("array<double>"), asc=False), 1, k),
+                 lambda a: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.coalesce(F.try_element_at(a, i), F.lit(0.0))))
 
 
 def weighted_vote(a, b, weights=VOTE_WEIGHTS) -> Column:

@@ -134,9 +134,11 @@ def row_index(df: DataFrame, order_cols: list[str], out: str = "idx") -> DataFra
     (a window over one row per file) plus its position in its file, both fixed by what was
     written, so no second shuffle or retry can see other positions. Rows that are equal on
     ``order_cols`` follow a hash of the whole row, which also splits a hot key's range."""
-    path = scratch_path(df.sparkSession, "row-index")
+    path, rows = scratch_path(df.sparkSession, "row-index"), scratch_path(df.sparkSession, "row-index-rows")
     tie = F.xxhash64(*[qcol(c) for c, kind in df.dtypes if not kind.startswith("map")])
-    df.orderBy(*order_cols, tie).write.parquet(path)
+    # written first: the range sort reads its input twice (for the bounds, then for the rows)
+    df.write.parquet(rows)
+    df.sparkSession.read.schema(df.schema).parquet(rows).orderBy(*order_cols, tie).write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path).select(
         *[qcol(c) for c in df.columns], F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
     counts = back.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))

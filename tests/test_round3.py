@@ -62,6 +62,24 @@ def test_texts_are_written_by_many_tasks(spark, tmp_path):
     assert len(set().union(*tasks.values())) > 4 and {len(t) for t in tasks.values()} == {1}
 
 
+def test_softmax_and_top_scores_are_computed_once_a_row(spark):
+    x = np.random.default_rng(3).normal(size=(50, 300))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id int, a array<double>")
+    t0 = time.time()
+    got = np.array([r.t for r in df.select("id", topk_scores(softmax("a"), 3).alias("t")).orderBy("id").collect()])
+    assert time.time() - t0 < 15
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    assert np.allclose(got, -np.sort(-e / e.sum(axis=1, keepdims=True), axis=1)[:, :3])
+    odd = spark.createDataFrame([(None,), ([],), ([1.0, None],)], "a array<double>")
+    assert [r.s for r in odd.select(softmax("a").alias("s")).collect()][:2] == [None, []]
+
+
+def test_row_index_computes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    out = row_index(_counted(spark.range(0, 1000, 1, 4), seen), ["id"])
+    assert out.where("id = idx").count() == 1000 and seen.value == 1000
+
+
 def test_telemetry_state_has_two_partitions_a_core(spark, tmp_path):
     from flowsieve.streaming import running as SR
     before = spark.conf.get("spark.sql.shuffle.partitions")
