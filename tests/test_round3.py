@@ -103,3 +103,19 @@ def test_telemetry_state_has_two_partitions_a_core(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     parts = [p for p in os.listdir(tmp_path / "ck/state/0") if p.isdigit()]
     assert len(parts) == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_knn_routes_hold_little(monkeypatch):
+    """Rows x cells looked at together are bounded, and rows x blocks too."""
+    rng = np.random.default_rng(4)
+    cells = knn.Cells(rng.normal(size=(2000, 16)))
+    cells.fill({j: (9000, 9.0) for j in range(2000)}, 1000)
+    x = rng.normal(size=(10_000, 16))
+    assert max(j - i for i, j in cells.steps(len(x))) * cells.blocks.sum() <= knn.MATRIX_ELEMENTS
+    tracemalloc.start()
+    i, j = next(iter(cells.steps(len(x))))
+    d = cells.distances(x[i:j])
+    cells.reachable(x[i:j], d, cells.nearest(d), np.full(j - i, 9.0), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
