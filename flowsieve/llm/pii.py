@@ -4,16 +4,16 @@ Entities are e-mail addresses, IPv4 addresses, card numbers and phone numbers fo
 corpus says how strongly a term near an entity reveals it: with document frequencies ``n`` of
 ``N`` documents, ``PMI(t; e) = log(n(t, e) N / (n(t) n(e)))`` against the entity's own information
 ``IC(e) = log(N / n(e))``. A term that occurs with the entity in at least ``support`` documents
-and whose PMI reaches ``alpha * IC`` discloses it: in the entity's surroundings it is generalised, or
-removed if it occurs with nothing else (PMI = IC). ``whole``, as in ``sanitise``, looks at whole
-documents instead: a term occurs with every entity of its document, and each of its occurrences
-there is a span.
-
-Scale: only matches and the few words around them are exploded and shuffled, never texts (but for
-the joined texts of ``sanitise``); counts are map-side combined. Positions are running sums
-over one document's matches. With ``whole``, the distinct terms of documents that hold an entity of
-at least ``support`` documents are exploded too, and the words of documents that hold a disclosing
-term; an entity of fewer documents has no pair of ``support``.
+and whose PMI reaches ``alpha * IC`` discloses it and is generalised, or removed if it occurs with
+nothing else (PMI = IC). A term occurs with every entity of its document, wherever it stands, and each
+of its occurrences there is a span. ``whole=False`` looks at an entity's surroundings only, as the
+query's SQL does.
+
+Scale: counts are map-side combined; positions are running sums over one document's matches. Of the texts
+that hold an entity of at least ``support`` documents the distinct terms are exploded, of those that
+hold a disclosing term the words; an entity of fewer documents has no pair of ``support``. A term
+is paired with the entities of its documents only if the counts of the two alone allow their PMI to
+reach ``alpha * IC``, so frequent words meet frequent entities only.
 """
 
 from __future__ import annotations
@@ -112,12 +112,16 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def reaching(pairs: DataFrame, entities: DataFrame, terms: DataFrame, total: float, alpha: float) -> DataFrame:
-    """(entity, term, removed) of the counted pairs whose PMI reaches ``alpha`` of the entity's information."""
-    scored = pairs.join(entities, "entity").join(terms, "term")
-    n = {c: F.col(c).cast("double") for c in ("n_et", "n_e", "n_t")}
-    pmi, ic = F.log(n["n_et"] * total / (n["n_t"] * n["n_e"])), F.log(total / n["n_e"])
-    return (scored.where((ic > 0) & (pmi >= alpha * ic))
+def reaches(n_et: Column, total: float, alpha: float) -> Column:
+    """Does the PMI of ``n_et`` with n_e and n_t reach ``alpha`` of the entity's information?"""
+    n_et, n_e, n_t = (c.cast("double") for c in (n_et, F.col("n_e"), F.col("n_t")))
+    pmi, ic = F.log(n_et * total / (n_t * n_e)), F.log(total / n_e)
+    return (ic > 0) & (pmi >= alpha * ic)
+
+
+def reaching(scored: DataFrame, total: float, alpha: float) -> DataFrame:
+    """(entity, term, removed) of the counted pairs (n_et, n_e, n_t) that reach ``alpha``."""
+    return (scored.where(reaches(F.col("n_et"), total, alpha))
             .select("entity", "term", (F.col("n_t") <= F.col("n_et")).alias("removed")))
 
 
@@ -129,7 +133,7 @@ def disclosing(docs: DataFrame, near: DataFrame, alpha: float, support: int) ->
     pairs = pairs.where(F.col("n_et") >= support)
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    return reaching(pairs, entities, terms, float(docs.count()), alpha)
+    return reaching(pairs.join(entities, "entity").join(terms, "term"), float(docs.count()), alpha)
 
 
 def _same_document(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -143,14 +147,17 @@ def whole_terms(docs: DataFrame, base: DataFrame, alpha: float, support: int) ->
     hold its entity; both are counted over whole documents."""
     held = base.select("id", "digest", "m", entity_of(F.col("kind"), F.col("match")).alias("entity")).distinct()
     entities = held.groupBy("entity").agg(F.sum("m").alias("n_e")).where(F.col("n_e") >= support)
-    held = stored(held.join(entities.select("entity"), "entity", "left_semi").select("id", "digest", "m", "entity"), "pii-held")
+    held = stored(held.join(entities, "entity").select("id", "digest", "m", "entity", "n_e"), "pii-held")
     some = _same_document(docs, held.select("id", "digest").distinct(), "left_semi")
     # repeated rows are looked at once and counted ``m`` times
     some = stored(some.groupBy("id", "digest").agg(F.first("text").alias("text")), "pii-texts")
-    pairs = (_same_document(some.select("id", "digest", F.explode(terms_of(F.col("text"))).alias("term")), held)
-             .groupBy("entity", "term").agg(F.sum("m").alias("n_et")).where(F.col("n_et") >= support))
+    total = float(docs.count())
     terms = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    told = stored(reaching(pairs, entities, terms, float(docs.count()), alpha), "pii-told")
+    terms = some.select("id", "digest", F.explode(terms_of(F.col("text"))).alias("term")).join(terms.where(F.col("n_t") >= support), "term")
+    # n_et is at most n_e and n_t: what these do not allow to reach alpha is no pair
+    pairs = (_same_document(terms, held).where(reaches(F.least("n_e", "n_t"), total, alpha))
+             .groupBy("entity", "term", "n_e", "n_t").agg(F.sum("m").alias("n_et")).where(F.col("n_et") >= support))
+    told = stored(reaching(pairs, total, alpha), "pii-told")
     told = held.join(told, "entity").groupBy("id", "digest", "term").agg(F.max("removed").alias("removed"))
     words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
     places = (_same_document(some, told.select("id", "digest").distinct(), "left_semi")
@@ -164,8 +171,9 @@ def whole_terms(docs: DataFrame, base: DataFrame, alpha: float, support: int) ->
             .select("id", "digest", "start", "end", "removed"))
 
 
-def all_spans(docs: DataFrame, alpha: float = 0.9, support: int = 3, whole: bool = False) -> DataFrame:
-    """From (id, digest, text): id, digest, kind, start, end, removed. Terms never overlap base spans."""
+def all_spans(docs: DataFrame, alpha: float = 0.9, support: int = 3, whole: bool = True) -> DataFrame:
+    """From (id, digest, text): id, digest, kind, start, end, removed. Terms never overlap base spans; they are
+    looked for in whole texts or, without ``whole``, near entities only."""
     base = stored(base_spans(docs), "pii-base")
     if whole:
         terms = whole_terms(docs, base, alpha, support).withColumn("kind", F.lit("term"))
@@ -175,10 +183,11 @@ def all_spans(docs: DataFrame, alpha: float = 0.9, support: int = 3, whole: bool
                  .agg(F.max("removed").alias("removed")).withColumn("kind", F.lit("term")))
     both = (base.select("id", "digest", "kind", "start", "end", F.lit(False).alias("removed"))
             .unionByName(terms.select("id", "digest", "kind", "start", "end", "removed")))
-    w = Window.partitionBy("id", "digest").orderBy("start", "end")
-    entity = F.col("kind") != "term"
-    last_end = F.max(F.when(entity, F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    next_start = F.min(F.when(entity, F.col("start"))).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # running values from either end: a frame up to the last row would be summed anew for every row
+    entity, w = F.col("kind") != "term", Window.partitionBy("id", "digest")
+    forth, back = w.orderBy("start", "end", "kind"), w.orderBy(F.desc("start"), F.desc("end"), F.desc("kind"))
+    last_end = F.max(F.when(entity, F.col("end"))).over(forth.rowsBetween(Window.unboundedPreceding, 0))
+    next_start = F.min(F.when(entity, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, 0))
     return (both.withColumn("_e", last_end).withColumn("_s", next_start)
             .where(entity | ~(F.coalesce(F.col("_e") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_s") < F.col("end"), F.lit(False))))
             .drop("_e", "_s"))
@@ -195,7 +204,7 @@ def _match_key(left: DataFrame, right: DataFrame):
 
 def find(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """Per row: id, n_email, n_ip, n_card, n_phone, base_sha256 and spans (kind:start:end by kind, then
-    start, comma-joined; base ones only, and all).
+    start, comma-joined; base ones only, and all). Terms are looked for in whole texts.
 
     Null and empty texts have no spans. Rows are told apart by (id, hash of the text): repeated rows
     count as often as they stand, in every number, and get equal results; a null id is an id like
@@ -219,7 +228,7 @@ def sanitise(docs: DataFrame, id_col="doc_id", text_col="text", chars_col: str |
     ``chars_col``, if there, is brought up to date. Null texts stay null, empty ones empty; repeated rows count as
     often as they stand and are masked alike; null ids are ids; no rows give no rows; other columns stay."""
     d = keyed(docs, id_col, text_col)
-    spans = all_spans(d, **{"whole": True, **options})
+    spans = all_spans(d, **options)
     w = Window.partitionBy("id", "digest").orderBy("start", F.col("end").desc(), "kind")
     reached = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(F.coalesce(F.col("start") < reached, F.lit(False)), 0).otherwise(1))

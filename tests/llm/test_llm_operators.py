@@ -2,16 +2,18 @@
 awkward rows: nulls, empty and long texts, ties, repeated rows, no rows, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from flowsieve.llm import bitsliced, bpe, licenses, mixing, parsing, pii, quality, simhash, suffixes, toxicity
+from flowsieve.llm import bitsliced, bpe, licenses, mixing, parsing, pii, quality, queries, simhash, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -236,6 +238,49 @@ def test_pii_sanitise_covers_the_whole_text(spark):
     assert clean[50].text == texts[50]
 
 
+def spans_by_hand(texts, alpha=0.9, support=3):
+    """All spans of each text: every pair of a base match and a term of the same text, wherever they stand."""
+    term = re.compile(r"[^\W\d_][^\W_]+")
+    entity = lambda k, m: (k, re.sub("[^0-9]", "", m) if k in ("card", "phone") else m.lower())
+    base = [[(n, m.start(), m.end(), k, m.group()) for n, (k, p, ok) in enumerate(BASE) for m in re.finditer(p, t or "") if ok(m.group())] for t in texts]
+    words = [[(m.start(), m.end(), m.group().lower()) for m in term.finditer(t or "")] for t in texts]
+    held, terms = [{entity(k, m) for _, _, _, k, m in b} for b in base], [{w for _, _, w in ws} for ws in words]
+    n_e, n_t = Counter(e for h in held for e in h), Counter(w for ws in terms for w in ws)
+    n_et = Counter((e, w) for h, ws in zip(held, terms, strict=True) for e in h for w in ws)
+    n = len(texts)
+    told = {(e, w) for (e, w), x in n_et.items() if x >= support and n > n_e[e] and math.log(x * n / (n_t[w] * n_e[e])) >= alpha * math.log(n / n_e[e])}
+    out = []
+    for b, ws, h in zip(base, words, held, strict=True):
+        added = [(9, s, e, "term", w) for s, e, w in ws if any((x, w) in told for x in h) and not any(x[1] < e and x[2] > s for x in b)]
+        out.append(",".join(f"{k}:{s}:{e}" for _, s, e, k, _ in sorted(b + added)))
+    return out
+
+
+def test_pii_query_looks_at_whole_texts(spark, tmp_path):
+    """Terms far from their entity, behind another match, or more than eight words away are spans too."""
+    rng = random.Random(3)
+    far = lambda: prose(rng, 60)
+    texts = [f"Zorblatt writes {far()} é😀 jo@mail.com and 10.0.0.1 {far()} yours, ZORBLATT of Quendor" for _ in range(3)] * 2
+    texts += [f"one two three four five six seven eight Vexley nine {far()} 10.0.0.2 and +44 20 7946 0958 then Vexley" for _ in range(4)]
+    texts += [f"{' '.join(f'10.1.{i}.{j}' for j in range(40))} {far()} Hostless{i % 3}" for i in range(9)]
+    texts += [f"only {far()} ann{i}@mail.com" for i in range(3)] + [f"one two three writes and yours of {far()}" for i in range(300)] + [None, "", "a@b.cd"]
+    ids = [*range(6), *range(6, len(texts) - 3), None, None, -1]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts, strict=True)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    want = spans_by_hand(texts)
+    assert want[0].endswith(f",term:{len(texts[0]) - 7}:{len(texts[0])}") and "term:0:8" in want[0]
+    got = queries.QUERIES["op4_pii_sanitise"](spark, str(tmp_path))
+    assert shown(got, "doc_id", "spans") == sorted(zip(ids, want, strict=True), key=repr)
+
+
+def test_pii_pairs_that_counts_rule_out_are_not_kept(spark):
+    """The bound by n_e and n_t alone loses no pair: all counts up to 30 of 40 rows."""
+    from flowsieve.llm.pii import reaches
+    rows = [(e, t, x) for e in range(1, 31) for t in range(1, 31) for x in range(1, min(e, t) + 1)]
+    df = spark.createDataFrame(rows, "n_e long, n_t long, n_et long")
+    lost = [df.where(reaches(F.col("n_et"), 40.0, a) & ~reaches(F.least("n_e", "n_t"), 40.0, a)).count() for a in (0.5, 0.9, 1.0)]
+    assert lost == [0, 0, 0]
+
+
 def test_long_runs_stay_linear(spark):
     texts = ["a" * 200_000, "1" * 200_000, "1.2." * 50_000, "+1" + "(" * 100_000, "a@" * 50_000, "1 " * 100_000]
     got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
