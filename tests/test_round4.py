@@ -1,6 +1,11 @@
 """The whole job at size: what models are fitted to, files of texts, positions without copies, neighbours of many rows."""
 
+import os
+
+from pyspark.sql import functions as F
+
 from flowsieve.operators import models as ML
+from flowsieve.sources import texts
 
 
 def _prepared(spark, n):
@@ -19,3 +24,51 @@ def test_network_is_fitted_to_all_training_rows(spark, monkeypatch):
     train, test = Q.split_two(df, "flow_id", 25)
     assert seen == [train.count()] and seen[0] > 20
     assert {r.flow_id for r in out.collect()} == {r.flow_id for r in test.collect()}
+
+
+def _tree(folder):
+    out = {}
+    for at, _, names in os.walk(folder):
+        for n in (n for n in names if n.startswith("part-")):
+            out.setdefault(os.path.relpath(at, folder), []).append(open(f"{at}/{n}", "rb").read())
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_text_folders_are_those_of_sparks_writer(spark, tmp_path):
+    """Escaped, missing and repeated values, several lines in a file; and nothing but a file a text."""
+    odd = ["a b", "x/y=1%", "é:ü", "", None, "[q]*?", "t\tb", "plain", "{c}", "c}"]
+    rows = [(f"t{i % 7}\nß" if i % 5 else None, i % 4 or None, odd[i % len(odd)], i % 3 == 0) for i in range(120)]
+    df = spark.createDataFrame(rows, "text string, run int, `the model` string, ok boolean")
+    df.select(F.col("text").alias("value"), "run", "the model", "ok").repartition(1).write.partitionBy("run", "the model", "ok").text(str(tmp_path / "spark"))
+    texts.write_texts(df, f"file:{tmp_path}/own", ["run", "the model", "ok"])
+    ordered = lambda tree: {k: sorted(b"".join(v).split(b"\n")) for k, v in tree.items()}
+    assert ordered(_tree(tmp_path / "own")) == ordered(_tree(tmp_path / "spark"))
+    every = [n for _, _, names in os.walk(tmp_path / "own") for n in names]
+    assert "_SUCCESS" in every and all(n.startswith("part-") for n in every if n != "_SUCCESS")
+    assert sorted(os.listdir(tmp_path / "own")) == ["_SUCCESS", "run=1", "run=2", "run=3", "run=__HIVE_DEFAULT_PARTITION__"]
+    texts.write_texts(df.limit(0), f"file://{tmp_path}/own", ["run", "the model", "ok"])  # writes over it
+    assert os.listdir(tmp_path / "own") == ["_SUCCESS"] and texts.read_whole_texts(spark, f"file:{tmp_path}/own").count() == 0
+
+
+def test_local_texts_are_read_as_spark_reads_them(spark, tmp_path):
+    top = tmp_path / "a b%20ü"
+    for name, content in {"run=1/é x/one.txt": "ß\n".encode(), "run=1/two.txt": b"", "run=1/.three.txt": b"hidden", "_no/four.txt": b"hidden", "_k=1/five.txt": b"5",
+                          "six.txt": b"\xff\xfe bad", "seven.csv": b"other", "run=2/a#b?c;d&e'f~(g)+h,i@j!$k.txt": b"8", "run=2/nine.txt._COPYING_": b"hidden"}.items():
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(content)
+    own = texts.read_whole_texts(spark, f"file:{top}")
+    plain = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(f"file:{top}", wholetext=True)
+    plain = plain.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    shown = lambda d: sorted(d.select("path", F.hex(F.col("text").cast("binary")).alias("t")).collect())
+    assert shown(own) == shown(plain) and len(shown(own)) == 4
+    assert own.dtypes == plain.dtypes
+
+
+def test_whole_texts_are_listed_by_tasks(spark, tmp_path):
+    """The driver keeps no file list, and the scan is not a task for every 32 files."""
+    rows = [(f"t{i}", i, m) for i in range(400) for m in "ab"]
+    texts.write_texts(spark.createDataFrame(rows, "text string, run int, model string"), f"file:{tmp_path}/o", ["run", "model"])
+    back = texts.read_whole_texts(spark, f"file:{tmp_path}/o")
+    assert back.inputFiles() == [] and back.count() == 800
+    assert texts.read_whole_texts(spark, str(tmp_path / "o")).rdd.getNumPartitions() <= texts._tasks(spark)
+    assert {(r.text, r.path.split("/")[-3]) for r in back.collect()} == {(f"{t}\n", f"run={i}") for t, i, _ in rows}
