@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.util import U32, as_col, md5_u32
+from flowsieve.session import scratch_path
 
 
 def hash_bucket(key, buckets: int):
@@ -93,8 +94,21 @@ def weighted_resample(df: DataFrame, key, weight: str, n: int, total_weight: flo
 # Exact bounded rank per group without sorting a whole group in one task.
 # --------------------------------------------------------------------------------------
 
+BOUNDARY_BYTES = 64 << 20  # of boundaries of groups that may be broadcast
+
+
+def _sent_if_small(boundaries: DataFrame, group: str) -> DataFrame:
+    """Boundaries written once, and broadcast while their size is bounded: rows are then filtered where they are
+    read. Left to the planner, some 100,000 groups would be joined by a shuffle of all rows."""
+    path = scratch_path(boundaries.sparkSession, "group-boundaries")
+    boundaries.write.parquet(path)
+    boundaries = boundaries.sparkSession.read.schema(boundaries.schema).parquet(path)
+    size = boundaries.agg(F.sum(F.coalesce(F.octet_length(F.col(group).cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    return F.broadcast(boundaries) if size <= BOUNDARY_BYTES else boundaries
+
+
 def bounded_rank_filter(df: DataFrame, group: str, order_hash: str, tiebreak: str, limit,
-                        levels: int = 16) -> DataFrame:
+                        levels: int = 16, many_groups: bool = False) -> DataFrame:
     """Keep, in each group, the rows ranked <= quota by (order_hash, tiebreak).
 
     ``order_hash`` is a 32-bit value. ``limit`` is either a column name holding the group's
@@ -107,6 +121,9 @@ def bounded_rank_filter(df: DataFrame, group: str, order_hash: str, tiebreak: st
        at most 2**(32-levels) rows per group) find the boundary bucket.
     3. rows below the boundary bucket are kept outright; only rows *in* the boundary
        bucket (about 2**-(32-levels) of the group) are ranked with ``row_number``.
+
+    ``many_groups``: groups are many and small. Give them fewer buckets (more ``levels``) than rows, or the histogram
+    is as large as the data; their boundaries are written once and broadcast.
     """
     b = F.shiftright(F.col(order_hash), levels)
     if callable(limit):
@@ -124,6 +141,7 @@ def bounded_rank_filter(df: DataFrame, group: str, order_hash: str, tiebreak: st
     # null is a group like any other; rows above the boundary go at once, and only rows in it share
     # a window partition: all others are spread by their hash
     bnd = bnd.withColumnRenamed(group, "_g")
+    bnd = _sent_if_small(bnd, "_g") if many_groups else bnd
     d = df.withColumn("_b", b).join(bnd, F.col(group).eqNullSafe(F.col("_g")), "left")
     d = d.where(F.col("_bb").isNull() | (F.col("_b") <= F.col("_bb")))
     at_edge = F.coalesce(F.col("_b") == F.col("_bb"), F.lit(False))
@@ -132,8 +150,9 @@ def bounded_rank_filter(df: DataFrame, group: str, order_hash: str, tiebreak: st
             .drop("_b", "_bb", "_bbefore", "_blim", "_g", "_r"))
 
 
-def sample_exact_per_group(df: DataFrame, group: str, key: str, fraction: float, minimum: int = 1) -> DataFrame:
-    """Exactly max(minimum, floor(count * fraction)) rows of each group, chosen by key hash."""
+def sample_exact_per_group(df: DataFrame, group: str, key: str, fraction: float, minimum: int = 1, **ranked) -> DataFrame:
+    """Exactly max(minimum, floor(count * fraction)) rows of each group, chosen by key hash. ``ranked``: how
+    ``bounded_rank_filter`` goes about it, at no change of the rows."""
     d = df.withColumn("_h", md5_u32(key)).withColumn("_k", as_col(key).cast("string"))
     quota = lambda n: F.greatest(F.lit(minimum), F.floor(n * F.lit(fraction) + F.lit(1e-9))).cast("bigint")
-    return bounded_rank_filter(d, group, "_h", "_k", quota).drop("_h", "_k")
+    return bounded_rank_filter(d, group, "_h", "_k", quota, **ranked).drop("_h", "_k")

@@ -82,14 +82,18 @@ def read_flow_csv(spark: SparkSession, path, types: dict | None = None, string_c
     that header's schema, and the scans are united by name (absent columns are null). Names are
     trimmed and made unique; types come from the declared map, never from inference. ``multiline``: quoted
     fields may hold line breaks; such files stay split. ``positions`` adds ``position``, the 0-based row
-    of the logical file (a plain file, or a folder ``<name>.csv`` of part files); the rows are written once in
-    the shared folder, so that the numbers hold."""
+    of the logical file (a plain file, or a folder ``<name>.csv`` of part files); records with line breaks are written
+    once in the shared folder, so that the numbers hold, other lines are read a second time."""
     types = dict(FLOW_TYPES, **(types or {}))
     df = None
     for names, files in file_headers(spark, path):
         if multiline or positions:
-            rows = parsed(records(spark, files, multiline), names, "file", "block", "at")
-            rows = positioned(stored(rows, "flow-records"), F.regexp_extract("file", LOGICAL_FILE, 1)).withColumnRenamed("file", "file_path")
+            rows, logical = records(spark, files, multiline), F.regexp_extract("file", LOGICAL_FILE, 1)
+            if multiline:
+                rows = positioned(stored(parsed(rows, names, "file", "block", "at"), "flow-records"), logical)
+            else:  # lines are numbered as they are read, twice: no copy of the files
+                rows = parsed(positioned(rows, logical), names, "file", "position")
+            rows = rows.withColumnRenamed("file", "file_path")
             part = rows if positions else rows.drop("position")
         else:
             schema = T.StructType([T.StructField(n, T.StringType()) for n in names])

@@ -204,12 +204,16 @@ def positioned(rows: DataFrame, logical: Column) -> DataFrame:
     """``rows`` (with file, block, at; headers included) without headers, plus ``position``, the 0-based row of
     the logical file: a plain file, or a folder of part files in the order of their numbers.
 
-    ``rows`` must be written already: both passes have to see the same numbers."""
-    table = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    Both passes have to see the same numbers: ``rows`` are written already, or read a second time from files cut and
+    dealt to tasks as before. A row that is numbered otherwise (the session's settings or its cores changed
+    meanwhile) is an error, never a wrong position."""
+    table = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = table.withColumn("skip", F.when(F.row_number().over(Window.partitionBy("file").orderBy("block")) == 1, 1).otherwise(0)) \
         .withColumn("n", F.col("n") - F.col("skip")).withColumn("logical", logical)
     before = earlier(Window.partitionBy("logical").orderBy(part_number(F.col("file")), "file", "block"))
-    table = stored(inside.select("file", "block", (before - F.col("first") - F.col("skip")).alias("shift"), F.when(F.col("skip") == 1, F.col("first")).alias("header")), "csv-positions")
-    d = by_split(rows, table, "shift", "header").where(F.col("header").isNull() | (F.col("at") != F.col("header")))
-    return d.withColumn("position", (F.col("at") + F.col("shift")).cast("bigint")).drop("at", "block", "shift", "header")
+    table = stored(inside.select("file", "block", "first", "last", (before - F.col("first") - F.col("skip")).alias("shift"), F.when(F.col("skip") == 1, F.col("first")).alias("header")), "csv-positions")
+    same = F.when(F.col("at").between(F.col("first"), F.col("last")), F.lit(True)).otherwise(
+        F.raise_error(F.lit("rows were numbered otherwise than before: read the files again")).cast("boolean"))
+    d = by_split(rows, table, "first", "last", "shift", "header").where(same).where(F.col("header").isNull() | (F.col("at") != F.col("header")))
+    return d.withColumn("position", (F.col("at") + F.col("shift")).cast("bigint")).drop("at", "block", "first", "last", "shift", "header")

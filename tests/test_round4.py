@@ -2,10 +2,13 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowsieve.operators import models as ML
-from flowsieve.sources import texts
+from flowsieve.operators import sampling as S
+from flowsieve.sources import flows as FS
+from flowsieve.sources import records, texts
 
 
 def _prepared(spark, n):
@@ -72,3 +75,64 @@ def test_whole_texts_are_listed_by_tasks(spark, tmp_path):
     assert back.inputFiles() == [] and back.count() == 800
     assert texts.read_whole_texts(spark, str(tmp_path / "o")).rdd.getNumPartitions() <= texts._tasks(spark)
     assert {(r.text, r.path.split("/")[-3]) for r in back.collect()} == {(f"{t}\n", f"run={i}") for t, i, _ in rows}
+
+
+def _numbered_files(tmp_path):
+    for k in range(3):
+        (tmp_path / f"a.csv/part-{k:05d}-x.csv").parent.mkdir(exist_ok=True)
+        (tmp_path / f"a.csv/part-{k:05d}-x.csv").write_text("Flow ID,Label\n" + "".join(f"f{1000 * k + i},x\n" + "\n" * (i % 3 == 0) for i in range(700)))
+
+
+def test_positions_need_no_copy_of_the_files(spark, tmp_path, monkeypatch):
+    _numbered_files(tmp_path)
+    kept = []
+    monkeypatch.setattr(records, "scratch_path", lambda s, name, own=records.scratch_path: kept.append(own(s, name)) or kept[-1])
+    monkeypatch.setattr(FS, "stored", lambda df, name: records.stored(df, name))
+    df = FS.read_flow_csv(spark, str(tmp_path), positions=True)
+    got = {r["Flow ID"]: r.position for r in df.select("Flow ID", "position").collect()}
+    assert got == {f"f{1000 * k + i}": 700 * k + i for k in range(3) for i in range(700)}
+    assert [os.path.basename(p).rsplit("-", 1)[0] for p in kept] == ["csv-positions"]
+
+
+def test_rows_numbered_otherwise_are_an_error(spark, tmp_path):
+    """The second pass has to see the numbers of the first, or none are given."""
+    _numbered_files(tmp_path)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 26))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 27))
+        df = FS.read_flow_csv(spark, str(tmp_path), positions=True).select("Flow ID", "Label", "position")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 30))
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        with pytest.raises(Exception, match="read the files again|read them again"):
+            df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_many_small_groups_are_ranked_without_a_shuffle_of_all_rows(spark):
+    """The same rows however it is done; the histogram has fewer rows than the data, the boundaries are broadcast."""
+    df = spark.range(0, 6000, 1, 4).select(F.concat(F.lit("g"), (F.col("id") / 300).cast("int").cast("string")).alias("g"), F.col("id").cast("string").alias("k"))
+    df = df.where("id < 5710").unionByName(df.limit(40))  # a small group, repeated keys
+    df = df.withColumn("g", F.when(F.col("g") != "g3", F.col("g")))  # and a null one
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for boundaries above it
+        few = S.sample_exact_per_group(df, "g", "k", 1 / 30, levels=26, many_groups=True)
+        assert sorted(map(str, few.collect())) == sorted(map(str, S.sample_exact_per_group(df, "g", "k", 1 / 30).collect()))
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shuffles_of_the_ordered_files_are_freed(spark, monkeypatch):
+    from flowsieve.plans import q_io as Q
+    name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    monkeypatch.setattr(Q, "flows", lambda *a: spark.createDataFrame([("f1", "x", "a.csv"), ("f2", "y", "a.csv")], "`Flow ID` string, Label string, source_file string"))
+    write, before = FS.write_flow_csv, spark.conf.get(name)
+    monkeypatch.setattr(FS, "write_flow_csv", lambda *a, **k: seen.append(spark.conf.get(name)) or write(*a, **k))
+    assert FS.read_flow_csv(spark, Q._ordered_csv(spark, "", "Label"), positions=True).count() == 2
+    assert seen == ["true"] and spark.conf.get(name) == before
