@@ -2,9 +2,11 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowsieve.operators import knn
 from flowsieve.operators import models as ML
 from flowsieve.operators import sampling as S
 from flowsieve.sources import flows as FS
@@ -136,3 +138,40 @@ def test_shuffles_of_the_ordered_files_are_freed(spark, monkeypatch):
     monkeypatch.setattr(FS, "write_flow_csv", lambda *a, **k: seen.append(spark.conf.get(name)) or write(*a, **k))
     assert FS.read_flow_csv(spark, Q._ordered_csv(spark, "", "Label"), positions=True).count() == 2
     assert seen == ["true"] and spark.conf.get(name) == before
+
+
+@pytest.mark.parametrize("dims, k, kind", [(3, 5, "spread"), (9, 7, "whole numbers"), (1, 4, "whole numbers"), (2, 600, "spread"), (4, 3, "copies"), (5, 7, "offset")])
+def test_leaves_hold_every_neighbour(dims, k, kind):
+    rng = np.random.default_rng(dims)
+    t = rng.normal(size=(2000, dims)) if kind != "whole numbers" else rng.integers(0, 4, (2000, dims)).astype(float)
+    t[:1500 if kind == "copies" else 0] = 1.5
+    t += 1e8 if kind == "offset" else 0.0
+    q, ids = np.concatenate([t[:40], t[-40:] + rng.normal(size=(40, dims))]), rng.permutation(len(t))
+    far = np.sqrt(((q[:, None] - t[None]) ** 2).sum(axis=2))
+    best = [np.lexsort((ids, d))[:k] for d in far]
+    for theta in (np.full(len(q), np.nan), np.where(np.arange(len(q)) % 2, np.nan, far[np.arange(len(q)), [b[-1] for b in best]])):
+        qi, ti, d = knn.Leaves(t, ids, 64).top(q, k, theta)
+        assert [ti[qi == i].tolist() for i in range(len(q))] == [b.tolist() for b in best]
+        assert np.array_equal(d, far[qi, ti])
+
+
+def test_few_dimensions_need_few_pivots_and_distances(spark, monkeypatch):
+    """Pivots grow slower than rows in few dimensions, and a block is not compared row by row."""
+    rng = np.random.default_rng(2)
+    looked, plain = [], knn._approximate
+    monkeypatch.setattr(knn, "_approximate", lambda q, t: looked.append(len(q) * len(t)) or plain(q, t))
+    t, q = rng.normal(size=(20_000, 3)), rng.normal(size=(500, 3))
+    knn.Leaves(t, np.arange(len(t))).top(q, 5, np.full(len(q), np.nan))
+    assert sum(looked) < len(q) * len(t) / 5
+    cells, made = [], knn.Cells
+    monkeypatch.setattr(knn, "CELL_ROWS", 50)
+    monkeypatch.setattr(knn, "Cells", lambda pivots: cells.append(len(pivots)) or made(pivots))
+    monkeypatch.setattr(knn, "LEAF_ROWS", 64)
+    rows = spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(t.tolist())], "id long, label int, v array<double>").repartition(4)
+    asked = spark.createDataFrame([(i, v) for i, v in enumerate(q[:40].tolist())], "id long, v array<double>")
+    got = {}
+    for r in knn.knn_neighbors(asked, rows, 5, "id", "v", "label").collect():
+        got.setdefault(r.qid, {})[r["rank"]] = r.tid
+    far = ((q[:40, None] - t[None]) ** 2).sum(axis=2)
+    assert {i: [v[j + 1] for j in range(5)] for i, v in got.items()} == {i: np.argsort(d)[:5].tolist() for i, d in enumerate(far)}
+    assert cells == [-(-20_000 // 800)]
